@@ -20,16 +20,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hash40(*cols: Column) -> Column:
-    """A 40-bit non-negative hash."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 24)
+def hash38(*cols: Column) -> Column:
+    """A 38-bit non-negative hash."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 26)
 
 
 #: Rows that one window partition holds on average where rows are numbered in two levels.
-RANK_ROWS = 16384
+RANK_ROWS = 4096
 
 
 def bucket_of(h: Column, rows: int) -> Column:
-    """Deals 40-bit hashes into equal ranges of about RANK_ROWS rows, in hash order."""
+    """Deals 38-bit hashes into equal ranges of about RANK_ROWS rows, in hash order."""
     n = max(1, -(-rows // RANK_ROWS))
-    return F.shiftright(h * F.lit(n).cast("long"), 40)
+    return F.shiftright(h * F.lit(n).cast("long"), 38)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_of, hash40, staged, table
+from .common import WORD, bucket_of, hash38, staged, table
 
 #: Words in a slot.
 BLOCK = 4096
@@ -88,7 +88,7 @@ def _slots(spark: SparkSession, sources: DataFrame, n_slots: int, n_sources: int
 def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, seed: int = 1) -> Mix:
     """The mix of ``docs`` (doc_id, text, source): see the module's head."""
     spark = docs.sparkSession
-    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash40(F.lit(seed), "doc_id", "text").alias("h")), "mix-sized")
+    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash38(F.lit(seed), "doc_id", "text").alias("h")), "mix-sized")
     sources = staged(targets(sized, weights, cap), "mix-sources")
     n_docs, all_words, n_sources = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("source")).first()
     small = F.broadcast(sources) if n_sources <= 100_000 else sources

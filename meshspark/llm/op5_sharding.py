@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, hash40, staged, table
+from .common import bucket_of, hash38, staged, table
 
 SHARDS = 16
 #: Hash bits that the first summary keeps, and those that each further level adds.
@@ -130,7 +130,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         placed = placed + (F.col("key") > F.lit(c)).cast("int")
     n = rows.count()
     # Slots: rank within a shard in the order of a hash, which spreads copies too; ranked in two levels.
-    rows = rows.withColumn("shard", placed).withColumn("h", hash40("key", "doc_id"))
+    rows = rows.withColumn("shard", placed).withColumn("h", hash38("key", "doc_id"))
     rows = rows.withColumn("bucket", bucket_of(F.col("h"), n))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

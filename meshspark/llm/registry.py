@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op1_mixing import op1_mixing
+from .op2_quality import op2_quality
 from .op3_jaccard import op3_jaccard
 from .op4_substring import op4_substring
 from .op5_sharding import op5_sharding
@@ -10,7 +11,7 @@ from .op8_decontamination import op8_decontamination
 
 
 def queries() -> dict:
-    found = (op1_mixing, op3_jaccard, op4_substring, op5_sharding, op8_decontamination)
+    found = (op1_mixing, op2_quality, op3_jaccard, op4_substring, op5_sharding, op8_decontamination)
     return {f.__name__: f for f in found}
 
 

@@ -40,8 +40,8 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets within them) of runs of rows of about PIECE bytes; null is empty."""
+def pieces(column: pa.Array, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets within them) of runs of rows of about `piece` bytes; null is empty."""
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     column = column.fill_null("")
@@ -49,7 +49,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + piece, "right")) - 1)
         j = min(j, len(column))
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
