@@ -7,11 +7,13 @@ from .op2_quality import op2_quality
 from .op3_jaccard import op3_jaccard
 from .op4_substring import op4_substring
 from .op5_sharding import op5_sharding
+from .op6_rules import op6_rules
+from .op7_pii import op7_pii
 from .op8_decontamination import op8_decontamination
 
 
 def queries() -> dict:
-    found = (op1_mixing, op2_quality, op3_jaccard, op4_substring, op5_sharding, op8_decontamination)
+    found = (op1_mixing, op2_quality, op3_jaccard, op4_substring, op5_sharding, op6_rules, op7_pii, op8_decontamination)
     return {f.__name__: f for f in found}
 
 
