@@ -11,11 +11,15 @@ from .op6_rules import op6_rules
 from .op7_pii import op7_pii
 from .op8_decontamination import op8_decontamination
 
+from .op9_html import op9_html
+from .op10_chat import ORACLE as CHAT_SQL
+from .op10_chat import op10_chat
+
 
 def queries() -> dict:
-    found = (op1_mixing, op2_quality, op3_jaccard, op4_substring, op5_sharding, op6_rules, op7_pii, op8_decontamination)
+    found = (op1_mixing, op2_quality, op3_jaccard, op4_substring, op5_sharding, op6_rules, op7_pii, op8_decontamination, op9_html, op10_chat)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat": CHAT_SQL}
