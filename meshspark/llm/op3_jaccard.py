@@ -37,6 +37,8 @@ from .common import staged, table
 
 #: Histogram cells, members of a block, shared signatures that glue, rows that one Python group holds.
 CELLS, BLOCK, GLUE, UNIT = 256, 1024, 3, 4096
+#: Bits of a signature that are exchanged; a chance match only costs a comparison.
+SIGNATURE_BITS = W.U((1 << 50) - 1)
 #: Ids that are broadcast at most; more are joined by shuffling.
 SMALL = 500_000
 
@@ -125,13 +127,13 @@ def _signed(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task emit once
         for batch in batches:
-            cids, parts = [], []
-            for u in shingle_sets(batch.column(0), n):
+            who, parts = [], []
+            for own, u in zip(batch.column(0), shingle_sets(batch.column(1), n), strict=True):
                 if len(u) and (c := class_id(u)) not in seen:
                     seen.add(c)
-                    cids.append(c)
-                    parts.append(signatures(u, percent))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), _lists(parts)], ["cid", "sigs"])
+                    who.append(c if own.as_py() is None else own.as_py())
+                    parts.append(signatures(u, percent) & SIGNATURE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), _lists(parts)], ["who", "sigs"])
 
     return run
 
@@ -245,9 +247,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module's head."""
     texts = docs.select("doc_id", "text")
     prof = staged(texts.mapInArrow(_profiles(n), f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles bigint, cid bigint, vec binary"), "near-docs")
-    rows = texts.select("text").mapInArrow(_signed(n, percent), "cid bigint, sigs array<bigint>").select("cid", F.explode("sigs").alias("sig"))
+    least = prof.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
+    # Signatures are exchanged under the id of a document, which packs far better than the name of its class.
+    spare = prof.join(least, "cid").where("doc_id > low").select(F.col("doc_id").alias("__id")).distinct()
+    first = _without(texts, spare, always=False)
+    rows = first.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
     one = Window.partitionBy("sig")
-    members = rows.withColumn("lo", F.min("cid").over(one)).withColumn("hi", F.max("cid").over(one)).where("lo < hi")
+    found = rows.withColumn("lo", F.min("who").over(one)).withColumn("hi", F.max("who").over(one)).where("lo < hi").select("sig", "who")
+    names = prof.where("cid is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), "cid").alias("who"), "cid").distinct()
+    members = staged(found, "near-found").join(names, "who").select("sig", "cid").distinct()
+    members = members.withColumn("lo", F.min("cid").over(one)).withColumn("hi", F.max("cid").over(one)).where("lo < hi")
     members = staged(members.select("sig", "cid", "lo"), "near-members")
 
     glued = members.where("cid <> lo").groupBy(F.col("lo").alias("a"), F.col("cid").alias("b")).agg(F.count_distinct("sig").alias("n")).where(f"n >= {GLUE}").select("a", "b")
@@ -267,8 +276,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     sets = wanted.select("text").mapInArrow(_whole(n), "cid bigint, items array<bigint>")
     links = _in_units(sets.join(who.select("cid", "key"), "cid"), _linked(percent))
     found = components(links)
-
-    least = prof.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     least = least.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = least.join(roots, "component").select("cid", "component_id")
@@ -281,16 +288,19 @@ def unique(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     A doc_id names a document: of several rows of one id one stays, and rows without an id all stay.
     """
     found = staged(jaccard_components(docs, n, percent).where("doc_id is not null"), "near-found")
-    rest = _without(docs, found.where("doc_id <> component_id").select("doc_id").distinct())
+    rest = _without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = rest.join(F.broadcast(twice) if twice.count() <= SMALL else twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(rest, twice).unionByName(once)
+    return _without(rest, twice.withColumnRenamed("doc_id", "__id")).unionByName(once)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = staged(ids.select(F.col("doc_id").alias("__id")), "near-ids")
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-    return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
+def _without(docs: DataFrame, ids: DataFrame, always: bool = True) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (__id); unless ``always``, only if there are few."""
+    ids = staged(ids, "near-ids")
+    few = ids.count() <= SMALL
+    if not few and not always:
+        return docs
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["__id"], "left_anti")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
