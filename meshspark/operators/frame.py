@@ -188,7 +188,7 @@ class MeshFrame:
         least neighbour.  Vertices with several fans or repeated sides are left out.
         """
         c = self.corners.groupBy("mesh_id", "v").agg(F.collect_set(F.struct("prev_v", "next_v")).alias("steps"), F.count("*").alias("n"), F.count_distinct("prev_v").alias("np"), F.count_distinct("next_v").alias("nn"))
-        c = c.where("n = np and n = nn").withColumn("turn", F.map_from_entries("steps"))
+        c = c.where("n = np and n = nn").withColumn("turn", F.map_from_entries(F.when(F.expr("n = np and n = nn"), F.col("steps"))))
         c = c.withColumn("heads", F.array_except(F.map_keys("turn"), F.map_values("turn"))).where("size(heads) <= 1")
         start = F.coalesce(F.get("heads", F.lit(0)), F.array_min(F.map_keys("turn")))
         ring = "aggregate(sequence(1, size(turn)), array(start), (a, i) -> case when turn[element_at(a, -1)] is null or turn[element_at(a, -1)] = a[0] then a else a || array(turn[element_at(a, -1)]) end)"
