@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshspark.functions import vec as V
+from meshspark.functions.shared import shared_dir
 from meshspark.operators import check, decimate, edit, geometry, repair, smooth, subdivide
 from meshspark.operators.frame import MeshFrame, change_status, test_status
 from meshspark.operators.weld import exact, leaders
+from meshspark.sources import files
 
 from .meshes import mesh, sql
 
@@ -89,9 +92,9 @@ def _(m: MeshFrame) -> DataFrame:
     return m.halfedges.select("mesh_id", "h", F.col("h").bitwiseXOR(1).alias("opposite"), "e", "src", "dst", F.coalesce("f", F.lit(-1)).alias("f"), "next_h", "prev_h")
 
 
-@query("find_halfedge_lookup", "grid", ", ask as (select mesh_id, v as a, v + 1 as b from vertices where v % 7 = 0) select ask.mesh_id, a, b, coalesce(h.h, -1) as h from ask left join h on h.mesh_id = ask.mesh_id and h.src = a and h.dst = b", HE)
+@query("find_halfedge_lookup", "grid", ", ask as (select mesh_id, v as a, v + 1 as b from vertices) select ask.mesh_id, a, b, coalesce(h.h, -1) as h from ask left join h on h.mesh_id = ask.mesh_id and h.src = a and h.dst = b", HE)
 def _(m: MeshFrame) -> DataFrame:
-    return m.find_halfedge(m.vertices.where("v % 7 = 0").select("mesh_id", F.col("v").alias("a"), (F.col("v") + 1).alias("b"))).na.fill(-1, ["h"])
+    return m.find_halfedge(m.vertices.select("mesh_id", F.col("v").alias("a"), (F.col("v") + 1).alias("b"))).na.fill(-1, ["h"])
 
 
 @query("stored_halfedges", "grid", "select mesh_id, src as v, arg_min(h, h + case when f is null then 0 else 1000000000000 end) as h from he group by 1, 2", HE)
@@ -581,6 +584,23 @@ def _(m: MeshFrame) -> DataFrame:
     return m.with_points(m.vertices.where("v % 2 = 0").withColumn("z", F.lit(math.pi))).vertices
 
 
+# -- files -----------------------------------------------------------------------------------------------------
+
+
+def _round_trip(kind: str, binary: bool):
+    def of(m: MeshFrame) -> DataFrame:
+        folder = f"{shared_dir(m.vertices.sparkSession)}/meshes-{uuid.uuid4().hex}"
+        files.write(m, folder, kind, binary)
+        return files.read(m.vertices.sparkSession, folder).counts().drop("mesh_id")
+
+    return of
+
+
+_TRIPS = ", q as (select mesh_id, count(*) as n_faces from faces group by 1), u as (select mesh_id, count(*) as n_vertices from vertices group by 1), w as (select mesh_id, count(*) as n_edges, count(*) filter (n_faces < 2) as n_boundary_edges from radial group by 1) select n_vertices, n_edges, n_faces, n_boundary_edges, n_vertices - n_edges + n_faces as euler from q join u using (mesh_id) join w using (mesh_id)"
+for _kind, _binary in (("obj", False), ("off", False), ("ply", False), ("ply", True), ("stl", False), ("stl", True)):
+    query(f"round_trip_{_kind}{'_binary' if _binary else ''}", "many", _TRIPS)(_round_trip(_kind, _binary))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
