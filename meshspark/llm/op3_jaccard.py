@@ -35,8 +35,11 @@ from meshspark.operators.components import components
 from . import words as W
 from .common import staged, table
 
-#: Histogram cells, members of a block, shared signatures that glue, rows that one Python group holds.
-CELLS, BLOCK, GLUE, UNIT = 256, 1024, 3, 4096
+#: Histogram cells by the least size of a set that has them.
+CELLS = ((0, 64), (600, 256), (4000, 1024))
+#: Members of a block, rows that one Python group holds, and shared signatures that glue: so many, and one more for
+#: every so many shingles, as long documents share some by chance.
+BLOCK, UNIT, GLUE, GLUE_SHINGLES = 1024, 4096, 3, 100
 #: Bits of a signature that are exchanged; a chance match only costs a comparison.
 SIGNATURE_BITS = W.U((1 << 50) - 1)
 #: Ids that are broadcast at most; more are joined by shuffling.
@@ -103,6 +106,19 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, W.U)
 
 
+def histogram(u: np.ndarray) -> bytes:
+    """Counts of the hashes by their first bits."""
+    cells = max(c for least, c in CELLS if len(u) >= least)
+    shift = 64 - (cells.bit_length() - 1)
+    return np.minimum(np.bincount((u >> W.U(shift)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _aligned(vecs: list[bytes]) -> np.ndarray:
+    """Histograms as rows of as many cells as the coarsest has."""
+    n = min(map(len, vecs))
+    return np.stack([np.frombuffer(v, np.uint8).astype(np.int16).reshape(n, -1).sum(1) for v in vecs]).astype(np.int16)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     off = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=off[1:])
@@ -117,7 +133,7 @@ def _profiles(n: int):
             for u in shingle_sets(batch.column(1), n):
                 count.append(len(u))
                 cid.append(class_id(u) if len(u) else None)
-                vec.append(np.minimum(np.bincount((u >> W.U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() if len(u) else None)
+                vec.append(histogram(u) if len(u) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary())], ["doc_id", "n_shingles", "cid", "vec"])
 
     return run
@@ -139,10 +155,18 @@ def _signed(n: int, percent: int):
 
 
 def _whole(n: int):
+    """From (text, cid, key, units): the whole set of the class, once for each unit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [u for u in shingle_sets(batch.column(0), n) if len(u)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(u) for u in parts], pa.int64()), _lists(parts)], ["cid", "items"])
+            unit, key, cid, parts = [], [], [], []
+            for u, c, k, units in zip(shingle_sets(batch.column(0), n), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if len(u) and class_id(u) == c:
+                    unit += units
+                    key += [k] * len(units)
+                    cid += [c] * len(units)
+                    parts += [u] * len(units)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (unit, key, cid)), _lists(parts)], ["unit", "key", "cid", "items"])
 
     return run
 
@@ -183,14 +207,14 @@ def _possible(percent: int):
     def run(t: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
         for g, ids in _groups(t):
-            vec = np.frombuffer(b"".join(g["vec"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            vec = _aligned(g["vec"].to_pylist())
             size, label = g["n"].to_numpy(), g["cluster"].to_numpy()
 
             def near(i: int, j: int) -> np.ndarray:
                 apart = np.abs(vec[i:j, None, :] - vec[None, :, :]).sum(2, dtype=np.int64)
                 return apart * (100 + percent) <= (size[i:j, None] + size[None, :]) * (100 - percent)
 
-            found += _forest(ids, label, near, 16)
+            found += _forest(ids, label, near, max(1, 4096 // vec.shape[1]))
         return _result(found)
 
     return run
@@ -229,18 +253,16 @@ def _linked(percent: int):
     return run
 
 
-def _in_units(rows: DataFrame, run) -> DataFrame:
-    """``run`` over the groups of "key" in (key, cid, ...): small groups together, large ones block by block."""
-    rows = staged(rows, "near-units")
+def _with_units(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, cid, ...) with the units in which a row is compared: one for small groups, which units hold
+    together, and one for each pair of blocks with its own in large groups."""
+    rows = staged(rows, "near-rows")
     total = rows.count()
-    counts = rows.groupBy("key").agg(F.count("*").alias("__n"))
-    rows = rows.join(counts, "key").withColumn("__blocks", F.ceil(F.col("__n") / BLOCK).cast("int"))
+    rows = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks")), "key")
     rows = rows.withColumn("__own", F.pmod(F.xxhash64("cid", F.lit(17)), F.col("__blocks")).cast("int"))
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    small = F.pmod(F.xxhash64("key"), F.lit(1 + total // UNIT))
-    large = F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other"))
-    rows = rows.withColumn("__unit", F.when(F.col("__blocks") == 1, small).otherwise(large)).drop("__n", "__blocks", "__own", "__other")
-    return rows.groupBy("__unit").applyInArrow(run, "a bigint, b bigint")
+    small = F.array(F.pmod(F.xxhash64("key"), F.lit(1 + total // UNIT)))
+    large = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.xxhash64("key", F.least("__own", o), F.greatest("__own", o)))
+    return rows.withColumn("units", F.when(F.col("__blocks") == 1, small).otherwise(large)).drop("__blocks", "__own")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -259,22 +281,23 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     members = members.withColumn("lo", F.min("cid").over(one)).withColumn("hi", F.max("cid").over(one)).where("lo < hi")
     members = staged(members.select("sig", "cid", "lo"), "near-members")
 
-    glued = members.where("cid <> lo").groupBy(F.col("lo").alias("a"), F.col("cid").alias("b")).agg(F.count_distinct("sig").alias("n")).where(f"n >= {GLUE}").select("a", "b")
+    vecs = prof.where("cid is not null").groupBy("cid").agg(F.min("vec").alias("vec"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
+    shared = members.where("cid <> lo").groupBy(F.col("lo").alias("a"), "cid").agg(F.count("*").alias("shared"))
+    glued = shared.join(vecs.select("cid", "n"), "cid").where(f"shared >= {GLUE} + n / {GLUE_SHINGLES}").select("a", F.col("cid").alias("b"))
     glued = staged(glued, "near-glued")
     cluster = components(glued)
     named = members.join(cluster.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("cluster"))
     mixed_ = named.withColumn("lo", F.min("cluster").over(one)).withColumn("hi", F.max("cluster").over(one)).where("lo < hi")
-    vecs = prof.where("cid is not null").groupBy("cid").agg(F.min("vec").alias("vec"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    open_ = mixed_.select(F.col("sig").alias("key"), "cid", "cluster").join(vecs.drop("doc_id"), "cid")
-    more = _in_units(open_, _possible(percent))
+    open_ = _with_units(mixed_.select(F.col("sig").alias("key"), "cid", "cluster")).withColumn("unit", F.explode("units")).drop("units")
+    more = open_.join(vecs.drop("doc_id"), "cid").groupBy("unit").applyInArrow(_possible(percent), "a bigint, b bigint")
     cluster = components(glued.unionByName(more.distinct()))
 
-    who = staged(cluster.join(vecs.select("cid", "doc_id"), cluster["node"] == vecs["cid"]).select("cid", F.col("component").alias("key"), "doc_id"), "near-who")
-    ids = who.select(F.col("doc_id").alias("__id")).distinct()
-    ids = F.broadcast(ids) if who.count() <= SMALL else ids
-    wanted = texts.join(ids, texts["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = wanted.select("text").mapInArrow(_whole(n), "cid bigint, items array<bigint>")
-    links = _in_units(sets.join(who.select("cid", "key"), "cid"), _linked(percent))
+    who = cluster.join(vecs.select("cid", "doc_id"), cluster["node"] == vecs["cid"]).select("cid", F.col("component").alias("key"), F.col("doc_id").alias("__id"))
+    who = staged(_with_units(who), "near-who")
+    few = F.broadcast(who) if who.count() <= SMALL else who
+    wanted = texts.join(few, texts["doc_id"].eqNullSafe(few["__id"])).select("text", "cid", "key", "units")
+    sets = wanted.mapInArrow(_whole(n), "unit bigint, key bigint, cid bigint, items array<bigint>")
+    links = sets.groupBy("unit").applyInArrow(_linked(percent), "a bigint, b bigint")
     found = components(links)
     least = least.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
