@@ -42,6 +42,8 @@ def powers(n: int) -> np.ndarray:
 
 def pieces(column: pa.Array, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets within them) of runs of rows of about `piece` bytes; null is empty."""
+    if not len(column):
+        return
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     column = column.fill_null("")
