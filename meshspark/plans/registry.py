@@ -545,15 +545,15 @@ def _(m: MeshFrame) -> DataFrame:
     return decimate.collapse_costs(m).select("mesh_id", "lo", "hi", _r("cost", "cost"))
 
 
-@query("decimate_half", "many")
+@query("decimate_quadric", "many")
 def _(m: MeshFrame) -> DataFrame:
-    return decimate.quadric_decimate(m, 128).counts()
+    return decimate.quadric_decimate(m, 200).counts()
 
 
 @query("decimate_modules", "many")
 def _(m: MeshFrame) -> DataFrame:
     d = decimate.Decimator(m).add_module(decimate.ModQuadric()).add_module(decimate.ModNormalFlipping(1.4)).add_module(decimate.ModAspectRatio(20.0)).add_module(decimate.ModEdgeLength(4.0))
-    d.decimate_to_faces(160)
+    d.decimate_to_faces(220)
     return d.mesh.counts()
 
 
