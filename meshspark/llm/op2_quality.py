@@ -55,12 +55,22 @@ def framed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1, STEP), first
 
 
+def responses(m: Model, x: np.ndarray, name: str) -> np.ndarray:
+    """Half of a filter's width on rows of bytes, summed in one order from tables of all bytes: the rounding of a
+    matrix product depends on a row's place in it, and equal texts must have equal scores."""
+    tables = [m["embed"] @ w for w in m[name].reshape(STEP, EMBED, FILTERS)]
+    out = tables[0][x[:, 0]]
+    for i in range(1, STEP):
+        out += tables[i][x[:, i]]
+    return out
+
+
 def forward(m: Model, data: np.ndarray, off: np.ndarray, keep: bool = False):
     """Logits of texts; with keep, also what the backward pass needs."""
     x, first = framed(data, off)
-    e = m["embed"][x].reshape(len(x), -1)
-    act = e @ m["first"]
-    act[:-1] += (e @ m["second"])[1:]
+    e = m["embed"][x].reshape(len(x), -1) if keep else None
+    act, after = (e @ m["first"], e @ m["second"]) if keep else (responses(m, x, "first"), responses(m, x, "second"))
+    act[:-1] += after[1:]
     act += m["bias"]
     np.maximum(act, 0, out=act)
     frames = np.diff(first) - 1  # the row of zeros starts no frame
@@ -78,7 +88,7 @@ def forward(m: Model, data: np.ndarray, off: np.ndarray, keep: bool = False):
     chunks = np.maximum(blocks - 1, 1)
     chunk0 = np.concatenate([[0], np.cumsum(chunks)])
     mean = np.add.reduceat(chunk, chunk0[:-1], axis=0) / chunks[:, None]
-    logit = mean @ m["out"] + m["shift"][0]
+    logit = mean @ m["out"] + m["shift"][0] if keep else (mean * m["out"]).sum(1) + m["shift"][0]
     return (logit, (x, e, act, starts, first, top, heads, mate, chunk, chunks, mean)) if keep else logit
 
 
