@@ -4,8 +4,12 @@ A page is cut into blocks of text with their tag, the share of text inside links
 article.  Elements that can't hold main text (navigation, footers, forms, scripts, adverts, comments ...) are
 left out with all they hold, by tag, role or the words of class and id.  The first pass decides a block by its
 stop-word density, length and link density, or leaves a short one open; in the second, open blocks take the label
-that their nearest decided neighbours share, or that of the nearer one.  Where a page marks its article, blocks
-outside it are decided against, and blocks inside it are decided for unless they are mostly links.
+that their nearest decided neighbours share, or that of the nearer one.
+
+Both passes judge every block.  An article that a page marks is evidence: in it, few stop words leave a block open
+and a moderate share of them makes a block good, and an open block is bad only between two bad ones of the article.
+Where the article holds main text, a block outside it must be both long and rich in stop words to be good on its
+own, and an open one is good only between two good ones; an h1 may head the article.
 
 Defined results: null and empty html give an empty text; unclosed and stray tags are allowed; an unclosed comment
 or script ends the page; repeated rows get equal results; an empty table gives no rows; further columns are
@@ -44,6 +48,8 @@ ASIDE_WORDS = frozenset(
 )
 ALWAYS_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion comment comments commentlist disqus replies reply respond related recommended recommendations teaser".split())
 MAIN_WORDS = frozenset("article content entry story post".split())
+#: Names that stand for the article: one of the first words with one of the second, and nothing else.
+ARTICLE_NAME = re.compile(r"(?:article|entry|post|story)[-_]*(?:body|content|text)", re.I)
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -67,36 +73,38 @@ class Block:
     main: bool
 
 
-def _skips(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """(leave the element out, it is the article) by tag and attributes."""
+def _skips(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """(leave the element out, it is the article, its header belongs to the text) by tag and attributes."""
     if tag in SKIPPED:
-        return True, False
+        return True, False, False
     main = tag in ("article", "main")
     if not attributes.strip():
-        return tag == "header" and not in_main, main
+        return tag == "header" and not in_main, main, main
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     role = found.get("role", "").lower()
-    tokens = {t.lower() for t in TOKEN.findall(found.get("class", "") + " " + found.get("id", ""))}
+    names = found.get("class", "") + " " + found.get("id", "")
+    tokens = {t.lower() for t in TOKEN.findall(names)}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
     if role in ROLES or hidden or tokens & ALWAYS_WORDS:
-        return True, False
+        return True, False, False
     main = main or role == "main" or "articlebody" in found.get("itemprop", "").lower()
     if tag in ("body", "html"):
-        return False, False
+        return False, False, False
     if main:
-        return False, True
+        return False, True, True
     if tokens & ASIDE_WORDS or tag == "header" and not in_main:
-        return True, False
-    return False, bool(tokens & MAIN_WORDS) and tag in ("div", "section")
+        return True, False, False
+    inner = bool(tokens & MAIN_WORDS) and tag in ("div", "section")
+    return False, inner and any(ARTICLE_NAME.fullmatch(n) for n in names.split()), inner
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, without elements that can't hold main text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, article, keeps headers
     text: list[str] = []
     linked = breaks = 0
-    in_link, tag_now, at, skip, main = False, "", 0, 0, 0
+    in_link, tag_now, at, skip, main, inner = False, "", 0, 0, 0, 0
 
     def flush(next_tag: str) -> None:
         nonlocal text, linked, tag_now, breaks
@@ -107,11 +115,12 @@ def blocks(html: str) -> list[Block]:
         text, linked, tag_now, breaks = [], 0, next_tag, 0
 
     def pop(n: int) -> None:
-        nonlocal skip, main
+        nonlocal skip, main, inner
         while len(stack) > n:
-            _, left_out, article = stack.pop()
+            _, left_out, article, heads = stack.pop()
             skip -= left_out
             main -= article
+            inner -= heads
 
     while at < len(html):
         m = TAG.search(html, at)
@@ -155,36 +164,56 @@ def blocks(html: str) -> list[Block]:
         elif not m[3].rstrip().endswith("/"):
             if tag == "body":
                 pop(0)
-            left_out, article = _skips(tag, m[3], main > 0)
+            left_out, article, heads = _skips(tag, m[3], inner > 0)
             if article and tag in ("article", "main") and skip and stack and stack[-1][0] in ("nav", "header", "footer", "aside"):
                 pop(next(i for i, s in enumerate(stack) if s[1]))  # the element was not closed
-            stack.append((tag, left_out, article))
+            stack.append((tag, left_out, article, heads))
             skip += left_out
             main += article
+            inner += heads
     flush("")
     return out
 
 
-def _decided(b: Block, marked: bool) -> bool | None:
-    """The first pass: good, bad or open."""
-    if marked:
-        return b.main and b.links <= LINKS
+def _decided(b: Block, stops: float, marked: bool) -> bool | None:
+    """The first pass: good, bad or open.  ``marked``: an article holds main text."""
     if b.links > LINKS:
         return False
-    words = WORDS.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(b.text) < SHORT:
         return None
-    if stops >= HIGH or stops >= LOW and len(b.text) >= LONG:
-        return True
-    return None if stops >= LOW else False
+    if b.main:
+        return True if stops >= LOW else None
+    if marked:
+        good = stops >= HIGH and len(b.text) >= LONG
+    else:
+        good = stops >= HIGH or stops >= LOW and len(b.text) >= LONG
+    return True if good else None if stops >= LOW else False
+
+
+def _stops(b: Block) -> float:
+    """The share of stop words."""
+    words = WORDS.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _inherited(b: Block, before: tuple[int, Block, bool] | None, after: tuple[int, Block, bool] | None, marked: bool) -> bool:
+    """The second pass: an open block by its nearest decided neighbours (distance, block, label)."""
+    if b.main:
+        return not all(n is not None and n[1].main and not n[2] for n in (before, after))
+    if b.tag[:1] == "h" and after is not None and (b.tag == "h1" or not marked or not after[1].main):
+        return after[2]  # a heading goes with what it heads
+    if marked:
+        return all(n is not None and n[2] for n in (before, after))
+    return min((n for n in (before, after) if n is not None), key=lambda n: n[0])[2]
 
 
 def extract(html: str | None) -> str:
     """The main text of a page: its good blocks joined by an empty line."""
     found = blocks(html or "")
-    marked = any(b.main and b.links <= LINKS for b in found)
-    label = [_decided(b, marked) for b in found]
+    stops = [_stops(b) for b in found]
+    inside = [b for b in found if b.main and b.links <= LINKS]
+    marked = sum(len(b.text) for b in inside) >= LONG or any(_decided(b, s, False) for b, s in zip(found, stops, strict=True) if b.main)
+    label = [_decided(b, s, marked) for b, s in zip(found, stops, strict=True)]
     known = [i for i, x in enumerate(label) if x is not None]
     k = 0
     final = []
@@ -192,14 +221,11 @@ def extract(html: str | None) -> str:
         while k < len(known) and known[k] < i:
             k += 1
         if x is None:
-            before, after = (known[k - 1] if k else None), (known[k] if k < len(known) else None)
-            near = [j for j in (before, after) if j is not None]
-            if not near:
-                x = not known and found[i].links == 0 and found[i].tag not in ("", "li")
-            elif found[i].tag[:1] == "h" and after is not None:
-                x = label[after]  # a heading goes with what it heads
+            before, after = ((abs(j - i), found[j], label[j]) if j is not None else None for j in (known[k - 1] if k else None, known[k] if k < len(known) else None))
+            if known:
+                x = _inherited(found[i], before, after, marked)
             else:
-                x = label[min(near, key=lambda j: abs(j - i))]
+                x = found[i].main if inside else found[i].links == 0 and found[i].tag not in ("", "li")
         final.append(x)
     return "\n\n".join(b.text for b, x in zip(found, final, strict=True) if x)
 

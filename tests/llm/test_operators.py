@@ -171,6 +171,26 @@ def test_html_keeps_the_article():
     assert op9_html.extract(None) == op9_html.extract("") == ""
 
 
+PROSE = "It was in the spring of the year that they came to the house by the river, and she had not been there before. " * 3
+
+
+def test_html_judges_pages_without_an_article():
+    links = "".join(f"<li><a href=x>Another page of this site, number {i}, with a long name to click on</a></li>" for i in range(4))
+    junk = "<div>" + "xq zzt kkr vvp " * 20 + "</div>"
+    page = f"<body><ul>{links}</ul>{junk}<p>Before.</p>{junk}<h2>Head</h2><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>{junk}<p>After.</p></body>"
+    assert op9_html.extract(page) == "\n\n".join(["Head", PROSE.strip(), "Short.", PROSE.strip()])
+
+
+def test_html_takes_an_article_as_evidence_only():
+    # a name such as entry-title is no article, and main text outside an article stays
+    assert op9_html.extract(f'<div class="entry-title">The title of it</div><p>{PROSE}</p><p>{PROSE}</p>').count("spring") == 6
+    assert op9_html.extract(f"<h1>Title</h1><article><p>{PROSE}</p></article><p>{PROSE}</p><p>Imprint</p>") == "\n\n".join(["Title", PROSE.strip(), PROSE.strip()])
+    # in an article, text with few stop words goes with its neighbours, and a short text between link lists is bad
+    link = "<p><a href=x>Another page of this site with a long name to click on</a></p>"
+    few = "Chrome steel, brass, copper, nickel, cobalt, zinc, cadmium, mercury, gallium, indium, thallium."
+    assert op9_html.extract(f"<article><h1>Title</h1><p>{PROSE}</p><p>{few}</p>{link}<p>More:</p>{link}</article>") == "\n\n".join(["Title", PROSE.strip(), few])
+
+
 def test_snapshots_collapse(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "hi there"), (5, 0, None, None)]
     got = op10_chat.collapsed(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
