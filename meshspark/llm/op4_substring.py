@@ -1,10 +1,9 @@
-"""Substring dedup by recompression of word sequences.
+"""Substring dedup by landmarks at content-defined places of word sequences, in place of recompression.
 
-Words are the letters.  Level 1 names runs of two equal letters and pairs of a left and a right letter (a bit of
-a letter's hash says which it is); whether a run or pair is formed depends only on the letters next to it.
-Level 2 names, at every level-1 boundary, the level-1 symbols that cover the next 6 or 7 words.  A name is a
-hash of what it stands for, so equal substrings get equal interior symbols in every task and naming needs no
-exchange.  Of the level-2 symbols that every window of 20 words surely contains whole, the least is the window's
+Words are the letters.  Level 1 marks where runs of two equal letters and pairs of a left and a right letter (a bit
+of a letter's hash says which it is) start; whether a run or pair is formed depends only on the letters next to it.
+Level 2 hashes, at every level-1 boundary, the 6 or 7 words to the boundary after them.  Such a name depends on
+nothing else, so equal substrings get equal interior symbols in every task and naming needs no exchange.  Of the level-2 symbols that every window of 20 words surely contains whole, the least is the window's
 landmark; equal windows have equal landmarks at equal places.
 
 Spark rounds: (1) landmarks are exchanged by name, which leaves those that occur more than once; (2) the windows
