@@ -144,10 +144,10 @@ def _signed(n: int, percent: int):
         seen: set[int] = set()  # copies within a task emit once
         for batch in batches:
             who, parts = [], []
-            for own, u in zip(batch.column(0), shingle_sets(batch.column(1), n), strict=True):
+            for own, several, u in zip(batch.column(0), batch.column(2), shingle_sets(batch.column(1), n), strict=True):
                 if len(u) and (c := class_id(u)) not in seen:
                     seen.add(c)
-                    who.append(c if own.as_py() is None else own.as_py())
+                    who.append(c if own.as_py() is None or several.as_py() else own.as_py())
                     parts.append(signatures(u, percent) & SIGNATURE_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), _lists(parts)], ["who", "sigs"])
 
@@ -267,16 +267,26 @@ def _with_units(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); see the module's head."""
+    return _classed(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, cid (class), component_id, first (the class has the component's smallest doc_id, and the
+    smallest name among those) of every row of ``docs``."""
     texts = docs.select("doc_id", "text")
     prof = staged(texts.mapInArrow(_profiles(n), f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles bigint, cid bigint, vec binary"), "near-docs")
     least = prof.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
-    # Signatures are exchanged under the id of a document, which packs far better than the name of its class.
-    spare = prof.join(least, "cid").where("doc_id > low").select(F.col("doc_id").alias("__id")).distinct()
-    first = _without(texts, spare, always=False)
-    rows = first.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
+    # Signatures are exchanged under the id of a document, which packs far better than the name of its class; an id of
+    # several classes does not tell them apart, so these go under their own names.  An id is left out if no class has
+    # it as its smallest.
+    ids = prof.join(least, "cid").where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("low")).alias("own"), (F.min("cid") < F.max("cid")).alias("several"))
+    ids = staged(ids.where("not own or several"), "near-spare")
+    first = _flagged(_without(texts, ids.where("not own").select("__id"), always=False), ids.where("several").select("__id"))
+    rows = first.select(F.col("doc_id").cast("bigint"), "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
     one = Window.partitionBy("sig")
     found = rows.withColumn("lo", F.min("who").over(one)).withColumn("hi", F.max("who").over(one)).where("lo < hi").select("sig", "who")
-    names = prof.where("cid is not null").select(F.coalesce(F.col("doc_id").cast("bigint"), "cid").alias("who"), "cid").distinct()
+    names = _flagged(prof.where("cid is not null"), ids.where("several").select("__id"))
+    names = names.select(F.when(F.col("__several"), F.col("cid")).otherwise(F.coalesce(F.col("doc_id").cast("bigint"), "cid")).alias("who"), "cid").distinct()
     members = staged(found, "near-found").join(names, "who").select("sig", "cid").distinct()
     members = members.withColumn("lo", F.min("cid").over(one)).withColumn("hi", F.max("cid").over(one)).where("lo < hi")
     members = staged(members.select("sig", "cid", "lo"), "near-members")
@@ -300,9 +310,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = sets.groupBy("unit").applyInArrow(_linked(percent), "a bigint, b bigint")
     found = components(links)
     least = least.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    roots = least.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = least.join(roots, "component").select("cid", "component_id")
-    return prof.select("doc_id", "n_shingles", "cid").join(classes, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    roots = least.groupBy("component").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull(), "low", "cid"))["cid"].alias("keeper"))
+    classes = least.join(roots, "component").select("cid", "component_id", (F.col("cid") == F.col("keeper")).alias("first"))
+    return prof.select("doc_id", "n_shingles", "cid").join(classes, "cid", "left").select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first")
+
+
+def _flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with __several: whether its doc_id is one of ``ids`` (__id)."""
+    k = ids.count()
+    if not k:
+        return rows.withColumn("__several", F.lit(False))
+    ids = ids.withColumn("__several", F.lit(True))
+    both = rows.join(F.broadcast(ids) if k <= SMALL else ids, rows["doc_id"] == ids["__id"], "left").drop("__id")
+    return both.withColumn("__several", F.coalesce("__several", F.lit(False)))
 
 
 def unique(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

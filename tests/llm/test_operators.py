@@ -234,3 +234,13 @@ def test_unique_keeps_one_of_a_group(spark):
     docs = spark.createDataFrame([(1, t, 5), (2, t + " more", 5), (3, "other text of its own", 5), (None, t, 5), (3, "other text of its own", 5)], "doc_id bigint, text string, low int")
     got = op3_jaccard.unique(docs).collect()
     assert collections.Counter(r["doc_id"] for r in got) == {1: 1, 3: 1, None: 1} and got[0].asDict().keys() == {"doc_id", "text", "low"}
+
+
+def test_jaccard_links_texts_of_a_repeated_id(spark):
+    x, y = " ".join(f"x{i}" for i in range(100)), " ".join(f"y{i}" for i in range(100))
+    docs = spark.createDataFrame([(3, y), (5, y), (5, x), (9, x + " more")], "doc_id bigint, text string")
+    for small in (op3_jaccard.SMALL, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(op3_jaccard, "SMALL", small)
+            got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op3_jaccard.jaccard_components(docs).collect())
+        assert got == [(3, 98, 3), (5, 98, 3), (5, 98, 5), (9, 99, 5)]
