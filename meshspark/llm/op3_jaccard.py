@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshspark.operators.components import components
 
@@ -326,17 +327,38 @@ def _flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def unique(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component, with their own columns.
+    """The rows of ``docs`` that are the first of their component, with their own columns.
 
-    A doc_id names a document: of several rows of one id one stays, and rows without an id all stay.
+    The first is the class with the smallest doc_id.  Of several rows of one id and class one stays (the least text),
+    rows of one id with other texts are judged by their own components, and rows without an id all stay.
     """
-    found = staged(jaccard_components(docs, n, percent).where("doc_id is not null"), "near-found")
-    rest = _without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = rest.join(F.broadcast(twice) if twice.count() <= SMALL else twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = _classed(docs, n, percent).where("doc_id is not null")
+    found = staged(found.select("doc_id", "cid", F.expr("cid is null or first and doc_id = component_id").alias("stays")), "near-found")
+    ids = staged(found.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "near-stays")
+    rest = _without(docs, ids.where("not stays").select(F.col("doc_id").alias("__id")))
+    twice = ids.where("stays").select("doc_id")
+    k = twice.count()
+    if not k:
+        return rest
+    several = rest.join(F.broadcast(twice) if k <= SMALL else twice, "doc_id", "left_semi").select(docs.columns)
+    classed = several.mapInArrow(_with_class(n, docs.columns.index("text")), StructType([*several.schema.fields, StructField("__cid", LongType())]))
+    first = found.where("stays").join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.col("cid").alias("__own")).distinct()
+    classed = classed.join(first, (F.col("doc_id") == F.col("__id")) & F.col("__cid").eqNullSafe(F.col("__own")), "left_semi")
+    once = classed.groupBy("doc_id", "__cid").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("__row")).select("__row.*")
     return _without(rest, twice.withColumnRenamed("doc_id", "__id")).unionByName(once)
 
 
+def _with_class(n: int, text: int):
+    """Rows with the class of their text beside their own columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = pa.array([class_id(u) if len(u) else None for u in shingle_sets(batch.column(text), n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, cid], [*batch.schema.names, "__cid"])
+
+    return run
+
+
 def _without(docs: DataFrame, ids: DataFrame, always: bool = True) -> DataFrame:
     """``docs`` without the rows of ``ids`` (__id); unless ``always``, only if there are few."""
     ids = staged(ids, "near-ids")

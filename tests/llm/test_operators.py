@@ -244,3 +244,10 @@ def test_jaccard_links_texts_of_a_repeated_id(spark):
             m.setattr(op3_jaccard, "SMALL", small)
             got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op3_jaccard.jaccard_components(docs).collect())
         assert got == [(3, 98, 3), (5, 98, 3), (5, 98, 5), (9, 99, 5)]
+
+
+def test_unique_decides_repeated_ids_by_text(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    docs = spark.createDataFrame([(3, y, 1), (5, y, 1), (5, x, 1), (5, z, 1), (5, z, 1), (9, x + " more", 1), (7, "", 1), (7, None, 1)], "doc_id bigint, text string, low int")
+    got = sorted((r["doc_id"], (r["text"] or "")[:1]) for r in op3_jaccard.unique(docs).collect())
+    assert got == [(3, "y"), (5, "x"), (5, "z"), (7, "")]
