@@ -11,6 +11,9 @@ and a moderate share of them makes a block good, and an open block is bad only b
 Where the article holds main text, a block outside it must be both long and rich in stop words to be good on its
 own, and an open one is good only between two good ones; an h1 may head the article.
 
+Stop words say nothing where their languages aren't used: in blocks mostly in other than Latin letters, and on pages
+where they make up hardly any of the text.  There, length and link density decide.
+
 Defined results: null and empty html give an empty text; unclosed and stray tags are allowed; an unclosed comment
 or script ends the page; repeated rows get equal results; an empty table gives no rows; further columns are
 ignored.
@@ -63,6 +66,8 @@ SHORT, LONG = 70, 200
 LOW, HIGH = 0.05, 0.15
 #: Share of text in links beyond which a block is not main text.
 LINKS = 0.5
+#: Share of a page's letters in stop words below which its language is none of theirs.
+FOREIGN = 0.03
 
 
 @dataclass
@@ -175,12 +180,14 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def _decided(b: Block, stops: float, marked: bool) -> bool | None:
-    """The first pass: good, bad or open.  ``marked``: an article holds main text."""
+def _decided(b: Block, stops: float | None, marked: bool) -> bool | None:
+    """The first pass: good, bad or open.  ``stops``: see _stops; ``marked``: an article holds main text."""
     if b.links > LINKS:
         return False
     if len(b.text) < SHORT:
         return None
+    if stops is None:
+        return True if len(b.text) >= LONG or b.main or not marked else None
     if b.main:
         return True if stops >= LOW else None
     if marked:
@@ -190,10 +197,22 @@ def _decided(b: Block, stops: float, marked: bool) -> bool | None:
     return True if good else None if stops >= LOW else False
 
 
-def _stops(b: Block) -> float:
-    """The share of stop words."""
-    words = WORDS.findall(b.text.lower())
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+def _stops(found: list[Block]) -> list[float | None]:
+    """The share of stop words of each block; None where it says nothing."""
+    shares: list[float | None] = []
+    letters = known = 0
+    for b in found:
+        words = WORDS.findall(b.text.lower())
+        stops = [w for w in words if w in STOP_WORDS]
+        share = len(stops) / max(1, len(words))
+        size = sum(map(len, words))
+        if b.links <= LINKS:
+            letters += size
+            known += sum(map(len, stops))
+        other = share < LOW and size > 0 and 2 * sum(len(w) for w in words if w[0] > "\u024f") > size
+        shares.append(None if other else share)
+    foreign = known < FOREIGN * letters
+    return [None if foreign and x is not None and x < LOW else x for x in shares]
 
 
 def _inherited(b: Block, before: tuple[int, Block, bool] | None, after: tuple[int, Block, bool] | None, marked: bool) -> bool:
@@ -210,7 +229,7 @@ def _inherited(b: Block, before: tuple[int, Block, bool] | None, after: tuple[in
 def extract(html: str | None) -> str:
     """The main text of a page: its good blocks joined by an empty line."""
     found = blocks(html or "")
-    stops = [_stops(b) for b in found]
+    stops = _stops(found)
     inside = [b for b in found if b.main and b.links <= LINKS]
     marked = sum(len(b.text) for b in inside) >= LONG or any(_decided(b, s, False) for b, s in zip(found, stops, strict=True) if b.main)
     label = [_decided(b, s, marked) for b, s in zip(found, stops, strict=True)]

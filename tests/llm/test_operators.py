@@ -191,6 +191,16 @@ def test_html_takes_an_article_as_evidence_only():
     assert op9_html.extract(f"<article><h1>Title</h1><p>{PROSE}</p><p>{few}</p>{link}<p>More:</p>{link}</article>") == "\n\n".join(["Title", PROSE.strip(), few])
 
 
+def test_html_keeps_languages_without_known_stop_words():
+    russian = "Весной того года они пришли к дому у реки, где прежде никто из них ещё не бывал. " * 3
+    finnish = "Keväällä he saapuivat talolle joen rannalle, jossa kukaan heistä ei ollut aikaisemmin käynyt. " * 3
+    chinese = "那年春天，他们来到河边的房子，以前谁也没有到过这里。" * 4
+    link = "<p><a href=x>Another page of this site with a long name to click on</a></p>"
+    for text in (russian, finnish, chinese):
+        assert op9_html.extract(f"<body>{link}<p>{text}</p><p>{text}<a href=x>x</a></p>{link}</body>").count(text.strip()) == 2
+        assert op9_html.extract(f"<body><p>{text} <a href=x>x</a></p></body>").startswith(text.strip())
+
+
 def test_snapshots_collapse(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "hi there"), (5, 0, None, None)]
     got = op10_chat.collapsed(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
