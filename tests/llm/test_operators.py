@@ -261,3 +261,10 @@ def test_unique_decides_repeated_ids_by_text(spark):
     docs = spark.createDataFrame([(3, y, 1), (5, y, 1), (5, x, 1), (5, z, 1), (5, z, 1), (9, x + " more", 1), (7, "", 1), (7, None, 1)], "doc_id bigint, text string, low int")
     got = sorted((r["doc_id"], (r["text"] or "")[:1]) for r in op3_jaccard.unique(docs).collect())
     assert got == [(3, "y"), (5, "x"), (5, "z"), (7, "")]
+
+
+def test_secret_is_proposed_however_late_its_first_digit(spark):
+    tokens = ["k" * 80 + "7", "7" * 80 + "k", "ab12cd34ef56"]
+    rows = spark.createDataFrame([(t,) for t in [*tokens, "k" * 80, "7" * 80]], "text string")
+    got = [r[0] for r in rows.select(F.regexp_extract("text", op7_pii.WIDE["secret"], 0)).collect()]
+    assert got == [*tokens, "", ""]
