@@ -127,3 +127,15 @@ def test_round_trip(spark, tmp_path, kind, binary):
 def test_ply_of_the_other_byte_order_is_refused():
     with pytest.raises(ValueError):
         files.parse_ply(b"ply\nformat binary_big_endian 1.0\nelement vertex 0\nend_header\n")
+
+
+def test_decimation_queries_ask_for_the_whole_job(spark, monkeypatch):
+    from meshspark.operators import decimate
+    from meshspark.plans import registry
+
+    asked = []
+    monkeypatch.setattr(decimate, "quadric_decimate", lambda m, n: asked.append(n) or m)
+    monkeypatch.setattr(decimate.Decimator, "decimate_to_faces", lambda self, n: asked.append(n))
+    for name in ("decimate_quadric", "decimate_modules"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [128, 160]
