@@ -53,7 +53,7 @@ def _replaced(m: MeshFrame, new: DataFrame) -> MeshFrame:
     parts = new.select("mesh_id", "f", F.posexplode("parts").alias("k", "verts"))
     kept = m.live_faces.join(parts.where("k = 0").select("mesh_id", "f", F.col("verts").alias("__v")), ["mesh_id", "f"], "left")
     base = kept.withColumn("verts", F.coalesce("__v", "verts")).select(m.faces.columns)
-    more = parts.where("k > 0").select("mesh_id", (F.col("f") * 64 + F.col("k")).alias("k"), "verts")
+    more = numbered(parts.where("k > 0").withColumnRenamed("k", "part"), "k", F.col("f"), F.col("part")).select("mesh_id", "k", "verts")
     return MeshFrame(m.live_vertices, base).add_faces(more)
 
 
@@ -67,27 +67,38 @@ def flip_edges(m: MeshFrame, edges: DataFrame) -> MeshFrame:
     return _replaced(m, w.select("mesh_id", F.inline(new)))
 
 
-def split_edges(m: MeshFrame, edges: DataFrame, at: str = "midpoint") -> MeshFrame:
-    """Edges of ``edges`` (mesh_id, e) halved at their middle, their triangles with them."""
-    e = m.edges.join(edges.select("mesh_id", "e").distinct(), ["mesh_id", "e"])
+def split_edges(m: MeshFrame, edges: DataFrame) -> MeshFrame:
+    """Edges of ``edges`` (mesh_id, e) halved at their middle, their triangles with them; with a column v, at that
+    vertex of the mesh, whose position stays."""
+    e = m.edges.join(edges.select([c for c in ("mesh_id", "e", "v") if c in edges.columns]).distinct(), ["mesh_id", "e"])
     _independent(e, F.array("f0", "f1"))
-    mid = e.join(points(m, "v0", "a"), ["mesh_id", "v0"]).join(points(m, "v1", "b"), ["mesh_id", "v1"]).withColumn("p", V.scale(V.add(F.col("a"), F.col("b")), 0.5))
-    grown = m.add_vertices(mid.select("mesh_id", F.col("e").alias("k"), *[F.col(f"p.{c}").alias(c) for c in "xyz"]))
-    top = m.vertices.groupBy("mesh_id").agg((F.max("v") + 1).alias("__v"))
-    ids = numbered(e.select("mesh_id", "e", "lo", "hi"), "w", F.col("e")).join(top, "mesh_id").withColumn("w", F.col("w") + F.col("__v"))
+    if "v" in edges.columns:
+        grown, ids = m, e.select("mesh_id", "lo", "hi", F.col("v").alias("w"))
+    else:
+        mid = e.join(points(m, "v0", "a"), ["mesh_id", "v0"]).join(points(m, "v1", "b"), ["mesh_id", "v1"]).withColumn("p", V.scale(V.add(F.col("a"), F.col("b")), 0.5))
+        grown = m.add_vertices(mid.select("mesh_id", F.col("e").alias("k"), *[F.col(f"p.{c}").alias(c) for c in "xyz"]))
+        ids = numbered(e.select("mesh_id", "e", "lo", "hi"), "w", F.col("e")).join(_first_free(m), "mesh_id").withColumn("w", F.col("w") + F.col("__v"))
     c = m.corners.where("n = 3").withColumns({"lo": F.least("v", "next_v"), "hi": F.greatest("v", "next_v")}).join(ids, ["mesh_id", "lo", "hi"])
     new = c.select("mesh_id", "f", F.array(F.array("v", "w", "after_v"), F.array("w", "next_v", "after_v")).alias("parts"))
     return _replaced(MeshFrame(grown.vertices, m.faces), new)
 
 
+def _first_free(m: MeshFrame) -> DataFrame:
+    return m.vertices.groupBy("mesh_id").agg((F.max("v") + 1).alias("__v"))
+
+
 def split_faces(m: MeshFrame, faces: DataFrame) -> MeshFrame:
-    """Faces of ``faces`` (mesh_id, f) as fans around a new vertex at their centre."""
+    """Faces of ``faces`` (mesh_id, f) as fans around a new vertex at their centre; with a column v, around that
+    vertex of the mesh, whose position stays."""
     from .subdivide import _face_centres
 
-    f = m.live_faces.join(faces.select("mesh_id", "f").distinct(), ["mesh_id", "f"]).join(_face_centres(m), ["mesh_id", "f"])
-    grown = m.add_vertices(f.select("mesh_id", F.col("f").alias("k"), *[F.col(f"centre.{c}").alias(c) for c in "xyz"]))
-    top = m.vertices.groupBy("mesh_id").agg((F.max("v") + 1).alias("__v"))
-    ids = numbered(f, "w", F.col("f")).join(top, "mesh_id").withColumn("w", F.col("w") + F.col("__v"))
+    f = m.live_faces.join(faces.select([c for c in ("mesh_id", "f", "v") if c in faces.columns]).distinct(), ["mesh_id", "f"])
+    if "v" in faces.columns:
+        grown, ids = m, f.withColumnRenamed("v", "w")
+    else:
+        f = f.join(_face_centres(m), ["mesh_id", "f"])
+        grown = m.add_vertices(f.select("mesh_id", F.col("f").alias("k"), *[F.col(f"centre.{c}").alias(c) for c in "xyz"]))
+        ids = numbered(f, "w", F.col("f")).join(_first_free(m), "mesh_id").withColumn("w", F.col("w") + F.col("__v"))
     parts = F.transform("verts", lambda v, i: F.array(v, F.get("verts", (i + 1) % F.size("verts")), F.col("w")))
     return _replaced(MeshFrame(grown.vertices, m.faces), ids.select("mesh_id", "f", parts.alias("parts")))
 
@@ -158,8 +169,8 @@ def vertex_split(m: MeshFrame, mesh_id: int, v0: int, v1: int, left: int | None,
     f = f.withColumn("verts", F.when(F.col("__own"), F.transform("verts", lambda x: F.when(x == v1, F.lit(v0).cast("bigint")).otherwise(x))).otherwise(F.col("verts"))).select(m.faces.columns)
     new = []
     if left is not None:
-        new.append((mesh_id, 0, [v0, left, v1]))
+        new.append((mesh_id, 0, [v0, v1, left]))
     if right is not None:
-        new.append((mesh_id, 1, [v1, right, v0]))
+        new.append((mesh_id, 1, [v1, v0, right]))
     rows = m.vertices.sparkSession.createDataFrame(new, "mesh_id bigint, k bigint, verts array<bigint>")
     return MeshFrame(m.vertices, f).add_faces(rows)

@@ -1,15 +1,17 @@
 """MeshFrame: a collection of polygon meshes as two DataFrames.
 
 vertices(mesh_id, v, x, y, z, ...) and faces(mesh_id, f, verts, ...) hold everything; corners, edges and half-edges
-are derived.  Further columns are properties and stay with their rows.  An optional boolean column ``deleted``
-marks tombstones, an optional int column ``status`` holds flag bits.  All operators are keyed by (mesh_id, id), so
-one huge mesh and many small ones are spread alike.
+are derived.  Further columns are properties and stay with their rows; a property's default is kept in its column's
+metadata and fills rows that are added later.  Properties of edges and half-edges are sparse tables by end vertices,
+so that they outlive a new numbering: edge_values(mesh_id, lo, hi, ...), halfedge_values(mesh_id, src, dst, ...).
+An optional boolean column ``deleted`` marks tombstones, an optional int column ``status`` holds flag bits.  All
+operators are keyed by (mesh_id, id), so one huge mesh and many small ones are spread alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,16 +25,40 @@ FLAGS = {"selected": SELECTED, "tagged": TAGGED, "locked": LOCKED, "feature": FE
 VERTEX_SCHEMA = "mesh_id bigint, v bigint, x double, y double, z double"
 FACE_SCHEMA = "mesh_id bigint, f bigint, verts array<bigint>"
 PROPERTY_TYPES = {"float": "double", "int": "int", "vec3": "struct<x:double,y:double,z:double>"}
+#: Key columns of the tables that hold the properties of an element, and columns that are not properties.
+KEYS = {"vertex": ("mesh_id", "v"), "face": ("mesh_id", "f"), "edge": ("mesh_id", "lo", "hi"), "halfedge": ("mesh_id", "src", "dst")}
+OWN = frozenset("mesh_id v x y z f verts lo hi src dst deleted status".split())
 
 
 def live(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in rows.columns else rows
 
 
+def _default(rows: DataFrame, name: str) -> Column:
+    """The default of a property column, or null."""
+    field = rows.schema[name]
+    value = field.metadata.get("default")
+    value = F.struct(*[F.lit(float(x)).alias(c) for c, x in zip("xyz", value, strict=True)]) if isinstance(value, list) else F.lit(value)
+    return value.cast(field.dataType)
+
+
+def _kept(rows: DataFrame, name: str, value: Column) -> Column:
+    """``value`` as a column of that name with the metadata it has in ``rows``."""
+    return value.alias(name, metadata=rows.schema[name].metadata)
+
+
+def _grown(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """``rows`` and ``new``, whose missing property columns get their defaults."""
+    lacking = [c for c in rows.columns if c not in new.columns]
+    return rows.unionByName(new.select("*", *[_default(rows, c).alias(c) for c in lacking]), True)
+
+
 @dataclass(frozen=True)
 class MeshFrame:
     vertices: DataFrame
     faces: DataFrame
+    edge_values: DataFrame | None = None
+    halfedge_values: DataFrame | None = None
 
     # -- construction ----------------------------------------------------------------------------------------
 
@@ -55,25 +81,48 @@ class MeshFrame:
         v = other.vertices.join(off, "mesh_id", "left").withColumn("v", F.col("v") + F.coalesce("__v", F.lit(0))).drop("__v", "__f")
         f = other.faces.join(off, "mesh_id", "left").withColumn("verts", F.transform("verts", lambda x: x + F.coalesce(F.col("__v"), F.lit(0))))
         f = f.withColumn("f", F.col("f") + F.coalesce("__f", F.lit(0))).drop("__v", "__f")
-        return MeshFrame(self.vertices.unionByName(v, True), self.faces.unionByName(f, True))
+        return MeshFrame(_grown(self.vertices, v), _grown(self.faces, f))
 
     def add_vertices(self, rows: DataFrame) -> MeshFrame:
         """With rows (mesh_id, k, x, y, z): ids follow the mesh's largest, in the order of k."""
         top = self.vertices.groupBy("mesh_id").agg((F.max("v") + 1).alias("__v"))
         new = numbered(rows, "v", F.col("k")).join(top, "mesh_id", "left").withColumn("v", F.col("v") + F.coalesce("__v", F.lit(0)))
-        return MeshFrame(self.vertices.unionByName(new.drop("__v", "k"), True), self.faces)
+        return replace(self, vertices=_grown(self.vertices, new.drop("__v", "k")))
 
     def add_faces(self, rows: DataFrame) -> MeshFrame:
-        """With rows (mesh_id, k, verts): ids follow the mesh's largest.  ``accepted`` tells which are manifold."""
+        """With rows (mesh_id, k, verts): ids follow the mesh's largest; repair.insert_faces takes manifold ones only."""
         top = self.faces.groupBy("mesh_id").agg((F.max("f") + 1).alias("__f"))
         new = numbered(rows, "f", F.col("k")).join(top, "mesh_id", "left").withColumn("f", F.col("f") + F.coalesce("__f", F.lit(0)))
-        return MeshFrame(self.vertices, self.faces.unionByName(new.drop("__f", "k"), True))
+        return replace(self, faces=_grown(self.faces, new.drop("__f", "k")))
+
+    def positions(self) -> DataFrame:
+        """mesh_id, v, x, y, z of all vertices: a copy of the positions."""
+        return self.vertices.select("mesh_id", "v", *"xyz")
+
+    def triangles(self) -> DataFrame:
+        """mesh_id, f, a, b, c of all live faces; raises if one is not a triangle."""
+        if not self.live_faces.where("size(verts) <> 3").isEmpty():
+            raise ValueError("a face is not a triangle")
+        return self.live_faces.select("mesh_id", "f", *[F.get("verts", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+
+    def to_numpy(self, mesh_id: int = 0) -> tuple:
+        """(positions (n, 3), triangles (m, 3)) of one mesh, dense and in the order of ids; for a mesh that fits the driver."""
+        one = replace(self, vertices=self.vertices.where(F.col("mesh_id") == mesh_id), faces=self.faces.where(F.col("mesh_id") == mesh_id)).compacted()
+        v, t = one.positions().toPandas().sort_values("v"), one.triangles().toPandas().sort_values("f")
+        return v[["x", "y", "z"]].to_numpy(), t[["a", "b", "c"]].to_numpy()
+
+    def set_points(self, points: DataFrame) -> MeshFrame:
+        """With the positions of rows (mesh_id, v, x, y, z), which must hold every vertex once."""
+        both = self.vertices.select("mesh_id", "v").join(points.select("mesh_id", "v", F.lit(1).alias("n")), ["mesh_id", "v"], "full")
+        if not both.groupBy("mesh_id", "v").agg(F.sum("n").alias("n")).join(self.vertices.select("mesh_id", "v", F.lit(True).alias("own")), ["mesh_id", "v"], "left").where("n is null or n > 1 or own is null").isEmpty():
+            raise ValueError("the rows must be those of the vertices")
+        return self.with_points(points)
 
     def with_points(self, points: DataFrame) -> MeshFrame:
         """With the positions of rows (mesh_id, v, x, y, z) in place of the old ones."""
         p = points.select("mesh_id", "v", *[F.col(c).alias(f"__{c}") for c in "xyz"])
         v = self.vertices.join(p, ["mesh_id", "v"], "left").withColumns({c: F.coalesce(f"__{c}", c) for c in "xyz"}).drop("__x", "__y", "__z")
-        return MeshFrame(v.select(self.vertices.columns), self.faces)
+        return replace(self, vertices=v.select(self.vertices.columns))
 
     def __repr__(self) -> str:
         return f"MeshFrame(vertices{self.vertices.columns}, faces{self.faces.columns})"
@@ -187,8 +236,10 @@ class MeshFrame:
         Turning from neighbour prev_v leads to next_v.  An open fan starts at its boundary, a closed one at its
         least neighbour.  Vertices with several fans or repeated sides are left out.
         """
-        c = self.corners.groupBy("mesh_id", "v").agg(F.collect_set(F.struct("prev_v", "next_v")).alias("steps"), F.count("*").alias("n"), F.count_distinct("prev_v").alias("np"), F.count_distinct("next_v").alias("nn"))
-        c = c.where("n = np and n = nn").withColumn("turn", F.map_from_entries(F.when(F.expr("n = np and n = nn"), F.col("steps"))))
+        c = self.corners.groupBy("mesh_id", "v").agg(F.sort_array(F.collect_list(F.struct("prev_v", "next_v"))).alias("steps"))
+        # Only the first step from each neighbour goes into the map, so that its keys differ whatever the faces are.
+        first = F.filter("steps", lambda s, i: (i == 0) | (F.get("steps", i - 1)["prev_v"] < s["prev_v"]))
+        c = c.withColumn("turn", F.map_from_entries(first)).where("size(turn) = size(steps) and size(array_distinct(map_values(turn))) = size(steps)")
         c = c.withColumn("heads", F.array_except(F.map_keys("turn"), F.map_values("turn"))).where("size(heads) <= 1")
         start = F.coalesce(F.get("heads", F.lit(0)), F.array_min(F.map_keys("turn")))
         ring = "aggregate(sequence(1, size(turn)), array(start), (a, i) -> case when turn[element_at(a, -1)] is null or turn[element_at(a, -1)] = a[0] then a else a || array(turn[element_at(a, -1)]) end)"
@@ -232,16 +283,16 @@ class MeshFrame:
         """Without the faces of ``ids`` (mesh_id, f); with ``isolated``, without vertices that lose all faces."""
         keep = self.live_faces.join(ids.select("mesh_id", "f"), ["mesh_id", "f"], "left_anti").select(self.faces.columns)
         if not isolated:
-            return MeshFrame(self.vertices, keep)
+            return replace(self, faces=keep)
         gone = self.live_faces.join(ids.select("mesh_id", "f"), ["mesh_id", "f"], "left_semi").select("mesh_id", F.explode("verts").alias("v"))
         lost = gone.join(keep.select("mesh_id", F.explode("verts").alias("v")), ["mesh_id", "v"], "left_anti").distinct()
-        return MeshFrame(self.vertices.join(lost, ["mesh_id", "v"], "left_anti").select(self.vertices.columns), keep)
+        return replace(self, vertices=self.vertices.join(lost, ["mesh_id", "v"], "left_anti").select(self.vertices.columns), faces=keep)
 
     def delete_vertices(self, ids: DataFrame, isolated: bool = True) -> MeshFrame:
         """Without the vertices of ``ids`` (mesh_id, v) and the faces on them."""
         faces = self.corners.join(ids.select("mesh_id", "v"), ["mesh_id", "v"], "left_semi").select("mesh_id", "f").distinct()
         m = self.delete_faces(faces, isolated)
-        return MeshFrame(m.vertices.join(ids.select("mesh_id", "v"), ["mesh_id", "v"], "left_anti").select(self.vertices.columns), m.faces)
+        return replace(m, vertices=m.vertices.join(ids.select("mesh_id", "v"), ["mesh_id", "v"], "left_anti").select(self.vertices.columns))
 
     def delete_edges(self, ids: DataFrame, isolated: bool = True) -> MeshFrame:
         """Without the faces on the edges of ``ids`` (mesh_id, lo, hi)."""
@@ -256,31 +307,80 @@ class MeshFrame:
         lists = c.groupBy("mesh_id", "f").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "w"))), lambda t: t["w"]).alias("__verts"))
         f = numbered(self.live_faces.join(lists, ["mesh_id", "f"]), "__f", F.col("f"))
         v = v.withColumn("v", F.col("__v")).select([c for c in self.vertices.columns if c != "deleted"])
-        return MeshFrame(v, f.withColumns({"f": F.col("__f"), "verts": F.col("__verts")}).select([c for c in self.faces.columns if c != "deleted"]))
+        f = f.withColumns({"f": F.col("__f"), "verts": F.col("__verts")}).select([c for c in self.faces.columns if c != "deleted"])
+        return MeshFrame(v, f, self._moved("edge", ids), self._moved("halfedge", ids))
+
+    def _moved(self, element: str, ids: DataFrame) -> DataFrame | None:
+        """The values of edges or half-edges under the new ``ids`` (mesh_id, v, w) of their ends."""
+        rows = self.edge_values if element == "edge" else self.halfedge_values
+        if rows is None:
+            return None
+        _, a, b = KEYS[element]
+        moved = rows
+        for end in (a, b):
+            moved = moved.join(ids.select("mesh_id", F.col("v").alias(end), F.col("w").alias(f"__{end}")), ["mesh_id", end])
+        # New ids keep the order of the old ones, so the lesser end stays the lesser one.
+        return moved.select("mesh_id", F.col(f"__{a}").alias(a), F.col(f"__{b}").alias(b), *[c for c in rows.columns if c not in KEYS[element]])
 
     # -- properties, status ----------------------------------------------------------------------------------
 
+    def _table(self, element: str) -> DataFrame | None:
+        return {"vertex": self.vertices, "face": self.faces, "edge": self.edge_values, "halfedge": self.halfedge_values}[element]
+
+    def _with_table(self, element: str, rows: DataFrame | None) -> MeshFrame:
+        return replace(self, **{{"vertex": "vertices", "face": "faces", "edge": "edge_values", "halfedge": "halfedge_values"}[element]: rows})
+
     def with_property(self, element: str, name: str, kind: str, default=None) -> MeshFrame:
-        """With a column of type float, int or vec3 for vertices or faces; edge tables take columns themselves."""
-        value = F.struct(*[F.lit(float(x)).alias(c) for c, x in zip("xyz", default, strict=True)]) if kind == "vec3" and default is not None else F.lit(default)
-        column = value.cast(PROPERTY_TYPES[kind])
-        if element == "vertex":
-            return MeshFrame(self.vertices.withColumn(name, column), self.faces)
-        return MeshFrame(self.vertices, self.faces.withColumn(name, column))
+        """With a property of type float, int or vec3 of vertices, faces, edges or half-edges; the default is zero."""
+        if default is None:
+            default = (0.0, 0.0, 0.0) if kind == "vec3" else 0
+        value = F.struct(*[F.lit(float(x)).alias(c) for c, x in zip("xyz", default, strict=True)]) if kind == "vec3" else F.lit(default)
+        rows = self._table(element)
+        if rows is None:
+            at = self.radial if element == "edge" else self.corners.withColumnsRenamed({"v": "src", "next_v": "dst"})
+            rows = at.select(*KEYS[element]).limit(0)  # only its schema: values that are not set are defaults
+        column = value.cast(PROPERTY_TYPES[kind]).alias(name, metadata={"default": list(map(float, default)) if kind == "vec3" else default})
+        return self._with_table(element, rows.select(*[F.col(c) for c in rows.columns if c != name], column))
 
     def without_property(self, element: str, name: str) -> MeshFrame:
-        return MeshFrame(self.vertices.drop(name), self.faces) if element == "vertex" else MeshFrame(self.vertices, self.faces.drop(name))
+        rows = self._table(element)
+        return self if rows is None else self._with_table(element, rows.drop(name))
 
     def n_properties(self, element: str) -> int:
-        rows, own = (self.vertices, 5) if element == "vertex" else (self.faces, 3)
-        return len([c for c in rows.columns if c not in ("deleted", "status")]) - own
+        rows = self._table(element)
+        return 0 if rows is None else len([c for c in rows.columns if c not in OWN])
+
+    def values(self, element: str) -> DataFrame:
+        """Vertices, faces, edges or half-edges with their ids and properties."""
+        if element in ("vertex", "face"):
+            return self._table(element)
+        rows, ids = self._table(element), self.edges.select("mesh_id", "e", "lo", "hi") if element == "edge" else self.halfedges.select("mesh_id", "h", "src", "dst")
+        if rows is None:
+            return ids
+        own = [c for c in rows.columns if c not in KEYS[element]]
+        both = ids.join(rows.withColumn("__set", F.lit(True)), list(KEYS[element]), "left")
+        filled = [_kept(rows, c, F.when(F.col("__set"), F.col(c)).otherwise(_default(rows, c))) for c in own]
+        return both.select(*ids.columns, *filled)
 
     def set_values(self, element: str, name: str, rows: DataFrame) -> MeshFrame:
-        """With the values of ``rows`` (mesh_id, v or f, value) in column ``name``; other rows keep theirs."""
-        key = ["mesh_id", "v" if element == "vertex" else "f"]
-        old = self.vertices if element == "vertex" else self.faces
-        new = old.join(rows.select(*key, F.col("value").alias("__new")), key, "left").withColumn(name, F.coalesce("__new", name)).select(old.columns)
-        return MeshFrame(new, self.faces) if element == "vertex" else MeshFrame(self.vertices, new)
+        """With the values of ``rows`` (mesh_id, v, f, e or h, value) in column ``name``; other elements keep theirs."""
+        key, old = list(KEYS[element]), self._table(element)
+        if element in ("edge", "halfedge"):
+            ids = self.edges.select("mesh_id", "e", "lo", "hi") if element == "edge" else self.halfedges.select("mesh_id", "h", "src", "dst")
+            rows = rows.join(ids, ["mesh_id", "e" if element == "edge" else "h"])
+        new = old.join(rows.select(*key, F.col("value").alias("__new")), key, "left" if element in ("vertex", "face") else "full")
+        filled = [F.col(c) if c in key else F.coalesce(F.col("__new"), F.col(c), _default(old, c)) if c == name else F.coalesce(F.col(c), _default(old, c)) if element in ("edge", "halfedge") else F.col(c) for c in old.columns]
+        return self._with_table(element, new.select(*[_kept(old, c, x) for c, x in zip(old.columns, filled, strict=True)]))
+
+    def change_status(self, element: str, flag: str, rows: DataFrame) -> MeshFrame:
+        """With a status flag of elements set or cleared as ``rows`` (mesh_id, v, f, e or h, on) say."""
+        m, ident = self, {"vertex": "v", "face": "f", "edge": "e", "halfedge": "h"}[element]
+        if self._table(element) is None or "status" not in self._table(element).columns:
+            m = self.with_property(element, "status", "int", 0)
+        now = m.values(element).select("mesh_id", ident, F.col("status").alias("__status")).join(rows.select("mesh_id", ident, "on"), ["mesh_id", ident])
+        bit = F.lit(FLAGS[flag])
+        value = F.when(F.col("on"), F.coalesce("__status", F.lit(0)).bitwiseOR(bit)).otherwise(F.coalesce("__status", F.lit(0)).bitwiseAND(F.bitwise_not(bit)))
+        return m.set_values(element, "status", now.select("mesh_id", ident, value.cast("int").alias("value")))
 
 
 def status(rows: DataFrame) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshspark.functions import vec as V
@@ -136,25 +136,45 @@ def drop_unused_of(before: MeshFrame, after: MeshFrame) -> MeshFrame:
     return MeshFrame(after.vertices.join(lost, ["mesh_id", "v"], "left_anti").select(after.vertices.columns), after.faces)
 
 
-def accepted(m: MeshFrame) -> DataFrame:
-    """mesh_id, f, accepted: which faces a manifold mesh takes when they are inserted in the order of f.
+def verdicts(m: MeshFrame) -> DataFrame:
+    """mesh_id, f, reason: why a manifold mesh refuses a face when faces are inserted in the order of f, or null.
 
-    Meshes without a degenerate face, a side used twice or a vertex of several fans take all; only the others are
-    inserted face by face.
+    Reasons are degenerate, complex vertex (already surrounded), complex edge (side taken) and patch (would close one
+    of several fans).  A face with no vertex of several fans or repeated sides is always taken; only the faces around
+    such vertices are inserted face by face, each group of them that hangs together over these vertices on its own.
     """
-    twice = m.corners.groupBy("mesh_id", "v", "next_v").agg(F.count("*").alias("n")).where("n > 1").select("mesh_id")
-    bad = m.live_faces.where((F.size("verts") < 3) | (F.size(F.array_distinct("verts")) < F.size("verts"))).select("mesh_id")
-    odd = staged(twice.union(bad).union(check.nonmanifold_vertices(m).select("mesh_id")).distinct(), "odd-meshes")
     rows = m.live_faces.select("mesh_id", "f", "verts")
-    slow = rows.join(odd, "mesh_id", "left_semi").groupBy("mesh_id").applyInArrow(kernel.accept, "mesh_id bigint, f bigint, accepted boolean")
-    return rows.join(odd, "mesh_id", "left_anti").select("mesh_id", "f", F.lit(True).alias("accepted")).unionByName(slow)
+    whole = (F.size("verts") >= 3) & (F.size(F.array_distinct("verts")) == F.size("verts"))
+    sound = MeshFrame(m.vertices, rows.where(whole))
+    odd = staged(sound.corners.select("mesh_id", "f", "v").join(check.nonmanifold_vertices(sound), ["mesh_id", "v"], "left_semi"), "odd-corners")
+    hub = odd.groupBy("mesh_id", "v").agg(F.min("f").alias("g"))
+    at = lambda c: F.struct("mesh_id", F.col(c).alias("f"))
+    part = components(odd.join(hub, ["mesh_id", "v"]).select(at("f").alias("a"), at("g").alias("b"))).select("node.mesh_id", "node.f", F.col("component.f").alias("part"))
+    slow = rows.join(part, ["mesh_id", "f"]).select("mesh_id", "part", "f", "verts").groupBy("mesh_id", "part").applyInArrow(kernel.accept, "mesh_id bigint, f bigint, reason string")
+    reasons = slow.where("reason is not null").unionByName(rows.where(~whole).select("mesh_id", "f", F.lit("degenerate").alias("reason")))
+    return rows.select("mesh_id", "f").join(reasons, ["mesh_id", "f"], "left")
+
+
+def accepted(m: MeshFrame) -> DataFrame:
+    """mesh_id, f, accepted: which faces a manifold mesh takes when they are inserted in the order of f."""
+    return verdicts(m).select("mesh_id", "f", F.col("reason").isNull().alias("accepted"))
+
+
+def insert_faces(m: MeshFrame, rows: DataFrame) -> tuple[MeshFrame, DataFrame]:
+    """(the mesh with those of ``rows`` (mesh_id, k, verts) that keep it manifold, inserted in the order of k;
+    mesh_id, k, reason of every row)."""
+    top = m.faces.groupBy("mesh_id").agg((F.max("f") + 1).alias("__f"))
+    keyed = numbered(rows, "f", F.col("k")).join(top, "mesh_id", "left").withColumn("f", F.col("f") + F.coalesce("__f", F.lit(0))).drop("__f")
+    keyed = staged(keyed, "new-faces")
+    both = MeshFrame(m.vertices, m.live_faces.select("mesh_id", "f", "verts").unionByName(keyed.select("mesh_id", "f", "verts")))
+    told = staged(keyed.join(verdicts(both), ["mesh_id", "f"]), "told-faces")
+    return m.add_faces(told.where("reason is null").select(*rows.columns)), told.select("mesh_id", "k", "reason")
 
 
 def to_mesh(m: MeshFrame, split_nonmanifold: bool = True) -> tuple[MeshFrame, DataFrame]:
-    """(the mesh of accepted faces, mesh_id, f of rejected ones); with split, rejected faces get own vertices."""
-    verdict = staged(accepted(m), "accepted")
-    keep = m.live_faces.join(verdict.where("accepted"), ["mesh_id", "f"], "left_semi").select(m.faces.columns)
-    rejects = verdict.where("not accepted").select("mesh_id", "f")
+    """(the mesh of accepted faces; mesh_id, f, reason of rejected ones); with split, rejected faces get own vertices."""
+    rejects = staged(verdicts(m).where("reason is not null"), "rejected")
+    keep = m.live_faces.join(rejects, ["mesh_id", "f"], "left_anti").select(m.faces.columns)
     if not split_nonmanifold:
         return MeshFrame(m.live_vertices, keep), rejects
     again = m.live_faces.join(rejects, ["mesh_id", "f"], "left_semi").where((F.size("verts") >= 3) & (F.size(F.array_distinct("verts")) == F.size("verts")))
@@ -167,7 +187,7 @@ def to_mesh(m: MeshFrame, split_nonmanifold: bool = True) -> tuple[MeshFrame, Da
     return MeshFrame(m.live_vertices.unionByName(new_v), keep.unionByName(new_f)), rejects
 
 
-def repaired(soup: MeshFrame, options: RepairOptions = RepairOptions()) -> tuple[MeshFrame, DataFrame]:
+def repaired(soup: MeshFrame, options: RepairOptions = RepairOptions(), by_area: bool = True) -> tuple[MeshFrame, DataFrame]:
     """(a clean soup, one report row per mesh): weld, degenerate, duplicate, small parts, orient, split, unused."""
     o, m, tallies = options, soup, []
 
@@ -182,7 +202,7 @@ def repaired(soup: MeshFrame, options: RepairOptions = RepairOptions()) -> tuple
     if o.weld:
         m = tally(m, weld(m, o.weld_tolerance), "vertices", "vertices_merged")
     if o.drop_degenerate:
-        m = tally(m, drop_degenerate(m, o.min_face_area), "faces", "degenerate_removed")
+        m = tally(m, drop_degenerate(m, o.min_face_area if by_area else None), "faces", "degenerate_removed")
     if o.drop_duplicate:
         m = tally(m, drop_duplicate(m), "faces", "duplicate_removed")
     if o.min_component_faces > 1:
@@ -205,10 +225,39 @@ def repaired(soup: MeshFrame, options: RepairOptions = RepairOptions()) -> tuple
 
 
 def load_and_repair(soup: MeshFrame, options: RepairOptions = RepairOptions()) -> tuple[MeshFrame, DataFrame]:
-    """(the manifold mesh of a repaired soup, its report)."""
+    """(the manifold mesh of a repaired soup, its report with faces_split and faces_failed)."""
     clean, report = repaired(soup, options)
-    mesh, _ = to_mesh(clean, options.split_nonmanifold)
-    return mesh, report
+    mesh, rejects = to_mesh(clean, options.split_nonmanifold)
+    return mesh, _with_rejects(report, rejects, "reason <> 'degenerate'" if options.split_nonmanifold else "false")
+
+
+def load_and_repair_path(spark: SparkSession, path: str, options: RepairOptions = RepairOptions()) -> tuple[MeshFrame, DataFrame]:
+    """As above from mesh files: a soup is read, without welding, then repaired."""
+    from meshspark.sources import files
+
+    return load_and_repair(files.read(spark, path, soup=True), options)
+
+
+def _with_rejects(report: DataFrame, rejects: DataFrame, split: str) -> DataFrame:
+    n = rejects.groupBy("mesh_id").agg(F.count_if(F.expr(split)).alias("faces_split"), F.count_if(~F.expr(split)).alias("faces_failed"))
+    report = report.join(n, "mesh_id", "left").na.fill(0)
+    return report.withColumn("changed", F.col("changed") | (F.col("faces_split") + F.col("faces_failed") > 0))
+
+
+def repair_mesh(m: MeshFrame, options: RepairOptions = RepairOptions()) -> tuple[MeshFrame, DataFrame]:
+    """(the rebuilt mesh, one report row per mesh): weld, degenerate, duplicate, orient, unused, then insertion of the
+    faces in order, without those that are refused.  Areas, small parts and fans are not looked at here."""
+    plain = replace(options, min_face_area=0.0, min_component_faces=0, split_nonmanifold=False)
+    clean, report = repaired(m, plain, by_area=False)
+    mesh, rejects = to_mesh(clean, False)
+    return mesh, _with_rejects(report.drop("nonmanifold_edges"), rejects, "false")
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """mesh_id, text: what a repair did, in words."""
+    names = [c for c in report.columns if c not in ("mesh_id", "changed")]
+    parts = [F.when(F.col(c) > 0, F.concat(F.lit(c.replace("_", " ") + " "), F.col(c).cast("string"))) for c in names]
+    return report.select("mesh_id", F.when(F.col("changed"), F.concat_ws(", ", *parts)).otherwise("nothing to repair").alias("text"))
 
 
 def hole_caps(m: MeshFrame, max_edges: int = 0) -> DataFrame:
@@ -237,6 +286,18 @@ def hole_caps(m: MeshFrame, max_edges: int = 0) -> DataFrame:
 
 
 def fill_holes(m: MeshFrame, max_edges: int = 0) -> MeshFrame:
-    """With the caps of all holes of up to ``max_edges`` edges (0: any)."""
-    caps = hole_caps(m, max_edges).select("mesh_id", (F.col("loop") * 1_000_000 + F.col("k")).alias("k"), "verts")
-    return m.add_faces(caps)
+    """With the caps of all holes of up to ``max_edges`` edges (0: any), as far as they keep the mesh manifold."""
+    return _capped(m, hole_caps(m, max_edges))
+
+
+def fill_hole(m: MeshFrame, mesh_id: int, h: int, max_edges: int = 0) -> MeshFrame:
+    """With the cap of the hole that half-edge ``h`` borders; unchanged if it borders none, or a larger one."""
+    at = lambda c: F.struct("mesh_id", F.col(c).alias("h"))
+    sides = m.halfedges.where((F.col("mesh_id") == mesh_id) & F.col("f").isNull())
+    loop = components(sides.select(at("h").alias("a"), at("next_h").alias("b"))).where(F.col("node.h") == h).select("component.mesh_id", F.col("component.h").alias("loop"))
+    return _capped(m, hole_caps(m, max_edges).join(loop, ["mesh_id", "loop"], "left_semi"))
+
+
+def _capped(m: MeshFrame, caps: DataFrame) -> MeshFrame:
+    rows = numbered(caps.withColumnRenamed("k", "step"), "k", F.col("loop"), F.col("step")).select("mesh_id", "k", "verts")
+    return insert_faces(m, rows)[0]
