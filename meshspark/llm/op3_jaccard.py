@@ -10,7 +10,10 @@ No pairs are emitted within a group of one signature.  Sets that share several s
 group's smallest member; where a group is still in several pieces, members are compared by histograms of their
 hashes (whose distance bounds the sets' difference from below, so no link is lost), block against block, and
 only a spanning forest of what remains possible is kept.  The clusters so found are verified exactly on whole
-sets, again block against block, and a forest of the links is emitted; components of the links are the result.
+sets and a forest of the links is emitted; components of the links are the result.  A large cluster is first
+compared block by block, each block with the same few representatives of its cluster; only members that this
+leaves outside the cluster's largest component are then compared with all others.  So a cluster of n near copies
+costs about n sets, and no link between different components is passed over.
 Documents with equal sets are one class from the start.
 
 Classes are named by 64 bits of a hash of the set; for n classes about n * n / 2**65 pairs are merged wrongly.
@@ -27,20 +30,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from meshspark.operators.components import components
 
 from . import words as W
-from .common import staged, table
+from .common import dropped, staged, table
 
 #: Histogram cells by the least size of a set that has them.
 CELLS = ((0, 64), (600, 256), (4000, 1024))
-#: Members of a block, rows that one Python group holds, and shared signatures that glue: so many, and one more for
-#: every so many shingles, as long documents share some by chance.
-BLOCK, UNIT, GLUE, GLUE_SHINGLES = 1024, 4096, 3, 100
+#: Members and shingles of a block, rows and shingles that one Python group holds beside, and shared signatures that
+#: glue: so many, and one more for every so many shingles, as long documents share some by chance.
+BLOCK, BLOCK_SHINGLES, UNIT, UNIT_SHINGLES, GLUE, GLUE_SHINGLES = 1024, 1 << 21, 4096, 1 << 21, 3, 100
+#: Members of a large cluster that are compared with all others first, and shingles of one record batch of sets.
+REPRESENTATIVES, BATCH_SHINGLES = 8, 1 << 20
 #: Bits of a signature that are exchanged; a chance match only costs a comparison.
 SIGNATURE_BITS = W.U((1 << 50) - 1)
 #: Ids that are broadcast at most; more are joined by shuffling.
@@ -160,18 +165,26 @@ def _whole(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, key, cid, parts = [], [], [], []
+            rows, held = [], 0
             for u, c, k, units in zip(shingle_sets(batch.column(0), n), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if len(u) and class_id(u) == c:
-                    unit += units
-                    key += [k] * len(units)
-                    cid += [c] * len(units)
-                    parts += [u] * len(units)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (unit, key, cid)), _lists(parts)], ["unit", "key", "cid", "items"])
+                if not len(u) or class_id(u) != c:
+                    continue
+                for unit in units:
+                    rows.append((unit, k, c, u))
+                    held += len(u)
+                    if held >= BATCH_SHINGLES:
+                        yield _set_rows(rows)
+                        rows, held = [], 0
+            yield _set_rows(rows)
 
     return run
 
 
+def _set_rows(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    unit, key, cid, sets = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (unit, key, cid)), _lists(sets)], ["unit", "key", "cid", "items"])
+
+
 def _forest(ids: np.ndarray, label: np.ndarray, rows: Callable[[int, int], np.ndarray], step: int) -> list[tuple[int, int]]:
     """A spanning forest, over pieces of equal label, of the graph whose adjacency rows(i, j) gives for i..j."""
     label, out = label.copy(), []
@@ -254,16 +267,71 @@ def _linked(percent: int):
     return run
 
 
-def _with_units(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, cid, ...) with the units in which a row is compared: one for small groups, which units hold
-    together, and one for each pair of blocks with its own in large groups."""
-    rows = staged(rows, "near-rows")
-    total = rows.count()
-    rows = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks")), "key")
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def _several(rows: DataFrame, value: str) -> DataFrame:
+    """The staged ``rows`` (sig, value) of signatures with different values, with the least of them as lo.
+
+    Groups are found by a partially aggregated group-by, so one that holds a third of all rows is no burden.
+    """
+    ends = staged(rows.groupBy("sig").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo < hi").select("sig", "lo"), "near-ends")
+    return rows.join(_small(ends), "sig")
+
+
+def _blocked(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """(the staged ``rows`` (key, cid, n, ...) with __blocks, the blocks that their group needs, and __own, the row's;
+    the unit of a row of a group of one block, which units hold together)."""
+    total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("__blocks"))
+    large = staged(groups.where("__blocks > 1"), "near-large")
+    rows = rows.join(_small(large), "key", "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     rows = rows.withColumn("__own", F.pmod(F.xxhash64("cid", F.lit(17)), F.col("__blocks")).cast("int"))
-    small = F.array(F.pmod(F.xxhash64("key"), F.lit(1 + total // UNIT)))
-    large = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.xxhash64("key", F.least("__own", o), F.greatest("__own", o)))
-    return rows.withColumn("units", F.when(F.col("__blocks") == 1, small).otherwise(large)).drop("__blocks", "__own")
+    return rows, F.pmod(F.xxhash64("key"), F.lit(1 + max(total[0] // UNIT, total[1] // UNIT_SHINGLES)))
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, cid, n, ...) with units: one for small groups, one for each pair of blocks with its own in large."""
+    rows, alone = _blocked(staged(rows, "near-rows"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.xxhash64("key", F.least("__own", o), F.greatest("__own", o)))
+    return rows.withColumn("units", F.when(F.col("__blocks") == 1, F.array(alone)).otherwise(pairs)).drop("__blocks", "__own", "n")
+
+
+def _verified(texts: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links that connect the classes of each cluster as far as they are similar enough, from the staged
+    ``who`` (cid, key, __id, n)."""
+
+    def links(rows: DataFrame) -> DataFrame:
+        wanted = _small(staged(rows.select("cid", "key", "__id", "units"), "near-units"))
+        sets = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"])).select("text", "cid", "key", "units").mapInArrow(_whole(n), "unit bigint, key bigint, cid bigint, items array<bigint>")
+        return staged(sets.groupBy("unit").applyInArrow(_linked(percent), "a bigint, b bigint"), "near-links")
+
+    rows, alone = _blocked(who)
+    large = rows.where("__blocks > 1")
+    heads = large.groupBy("key", F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(REPRESENTATIVES))).agg(F.min("cid").alias("cid")).select("cid", F.lit(True).alias("__head"))
+    heads = staged(heads, "near-heads")
+    every = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.xxhash64("key", o))
+    units = F.when(F.col("__blocks") == 1, F.array(alone)).when(F.col("__head"), every).otherwise(F.array(F.xxhash64("key", "__own")))
+    first = links(rows.join(_small(heads), "cid", "left").withColumn("units", units))
+    if heads.isEmpty():
+        return first
+    found = components(first).withColumnsRenamed({"node": "cid"})
+    named = staged(large.join(found, "cid", "left").select("key", "cid", "__id", F.coalesce("component", "cid").alias("part")), "near-parts")
+    sizes = named.groupBy("key", "part").agg(F.count("*").alias("members")).groupBy("key").agg(F.max(F.struct("members", "part")).alias("main"), F.sum("members").alias("members"))
+    sizes = sizes.where("members > main.members").select("key", F.col("main.part").alias("main"), F.ceil((F.col("members") - F.col("main.members")) / BLOCK).cast("int").alias("__rest"), F.ceil(F.col("main.members") / BLOCK).cast("int").alias("__mains"))
+    sizes = staged(sizes, "near-sizes")
+    if sizes.isEmpty():
+        return first
+    left = named.join(_small(sizes), "key").withColumn("__in", F.col("part") == F.col("main"))
+    own = F.pmod(F.xxhash64("cid", F.lit(19)), F.when(F.col("__in"), F.col("__mains")).otherwise(F.col("__rest"))).cast("int")
+    left = left.withColumn("__own", own)
+    rest = F.sequence(F.lit(0), F.col("__rest") - 1)
+    across = F.transform(rest, lambda o: F.xxhash64("key", F.lit(1), o, F.col("__own")))
+    own_pairs = F.transform(rest, lambda o: F.xxhash64("key", F.lit(0), F.least("__own", o), F.greatest("__own", o)))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("__mains") - 1), lambda o: F.xxhash64("key", F.lit(1), F.col("__own"), o))
+    return first.unionByName(links(left.withColumn("units", F.when(F.col("__in"), across).otherwise(F.concat(own_pairs, to_main)))))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -282,34 +350,30 @@ def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # it as its smallest.
     ids = prof.join(least, "cid").where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("low")).alias("own"), (F.min("cid") < F.max("cid")).alias("several"))
     ids = staged(ids.where("not own or several"), "near-spare")
-    first = _flagged(_without(texts, ids.where("not own").select("__id"), always=False), ids.where("several").select("__id"))
-    rows = first.select(F.col("doc_id").cast("bigint"), "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
-    one = Window.partitionBy("sig")
-    found = rows.withColumn("lo", F.min("who").over(one)).withColumn("hi", F.max("who").over(one)).where("lo < hi").select("sig", "who")
+    own_id = F.col("doc_id").cast("bigint") if isinstance(texts.schema["doc_id"].dataType, IntegralType) else F.lit(None).cast("bigint")
+    first = _flagged(_without(texts, ids.where("not own").select("__id")), ids.where("several").select("__id"))
+    rows = first.select(own_id, "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
+    rows = staged(rows, "near-signatures")
+    found = staged(_several(rows, "who").select("sig", "who"), "near-found")
+    dropped(rows)
     names = _flagged(prof.where("cid is not null"), ids.where("several").select("__id"))
-    names = names.select(F.when(F.col("__several"), F.col("cid")).otherwise(F.coalesce(F.col("doc_id").cast("bigint"), "cid")).alias("who"), "cid").distinct()
-    members = staged(found, "near-found").join(names, "who").select("sig", "cid").distinct()
-    members = members.withColumn("lo", F.min("cid").over(one)).withColumn("hi", F.max("cid").over(one)).where("lo < hi")
-    members = staged(members.select("sig", "cid", "lo"), "near-members")
+    names = names.select(F.when(F.col("__several"), F.col("cid")).otherwise(F.coalesce(own_id, "cid")).alias("who"), "cid").distinct()
+    members = staged(found.join(names, "who").select("sig", "cid").distinct(), "near-named")
+    members = staged(_several(members, "cid"), "near-members")
 
     vecs = prof.where("cid is not null").groupBy("cid").agg(F.min("vec").alias("vec"), F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     shared = members.where("cid <> lo").groupBy(F.col("lo").alias("a"), "cid").agg(F.count("*").alias("shared"))
     glued = shared.join(vecs.select("cid", "n"), "cid").where(f"shared >= {GLUE} + n / {GLUE_SHINGLES}").select("a", F.col("cid").alias("b"))
     glued = staged(glued, "near-glued")
     cluster = components(glued)
-    named = members.join(cluster.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("cluster"))
-    mixed_ = named.withColumn("lo", F.min("cluster").over(one)).withColumn("hi", F.max("cluster").over(one)).where("lo < hi")
-    open_ = _with_units(mixed_.select(F.col("sig").alias("key"), "cid", "cluster")).withColumn("unit", F.explode("units")).drop("units")
+    named = staged(members.join(cluster.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("cluster")), "near-clusters")
+    mixed_ = _several(named, "cluster")
+    open_ = _pairs_of_blocks(mixed_.select(F.col("sig").alias("key"), "cid", "cluster", F.lit(0).alias("n"))).withColumn("unit", F.explode("units")).drop("units")
     more = open_.join(vecs.drop("doc_id"), "cid").groupBy("unit").applyInArrow(_possible(percent), "a bigint, b bigint")
     cluster = components(glued.unionByName(more.distinct()))
 
-    who = cluster.join(vecs.select("cid", "doc_id"), cluster["node"] == vecs["cid"]).select("cid", F.col("component").alias("key"), F.col("doc_id").alias("__id"))
-    who = staged(_with_units(who), "near-who")
-    few = F.broadcast(who) if who.count() <= SMALL else who
-    wanted = texts.join(few, texts["doc_id"].eqNullSafe(few["__id"])).select("text", "cid", "key", "units")
-    sets = wanted.mapInArrow(_whole(n), "unit bigint, key bigint, cid bigint, items array<bigint>")
-    links = sets.groupBy("unit").applyInArrow(_linked(percent), "a bigint, b bigint")
-    found = components(links)
+    who = cluster.join(vecs.select("cid", "doc_id", "n"), cluster["node"] == vecs["cid"]).select("cid", F.col("component").alias("key"), F.col("doc_id").alias("__id"), "n")
+    found = components(_verified(texts, staged(who, "near-who"), n, percent))
     least = least.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     roots = least.groupBy("component").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull(), "low", "cid"))["cid"].alias("keeper"))
     classes = least.join(roots, "component").select("cid", "component_id", (F.col("cid") == F.col("keeper")).alias("first"))
@@ -359,13 +423,10 @@ def _with_class(n: int, text: int):
     return run
 
 
-def _without(docs: DataFrame, ids: DataFrame, always: bool = True) -> DataFrame:
-    """``docs`` without the rows of ``ids`` (__id); unless ``always``, only if there are few."""
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (__id)."""
     ids = staged(ids, "near-ids")
-    few = ids.count() <= SMALL
-    if not few and not always:
-        return docs
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["__id"], "left_anti")
+    return docs.join(_small(ids), docs["doc_id"] == ids["__id"], "left_anti")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

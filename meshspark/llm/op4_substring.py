@@ -1,10 +1,11 @@
 """Substring dedup by landmarks at content-defined places of word sequences, in place of recompression.
 
-Words are the letters.  Level 1 marks where runs of two equal letters and pairs of a left and a right letter (a bit
-of a letter's hash says which it is) start; whether a run or pair is formed depends only on the letters next to it.
-Level 2 hashes, at every level-1 boundary, the 6 or 7 words to the boundary after them.  Such a name depends on
-nothing else, so equal substrings get equal interior symbols in every task and naming needs no exchange.  Of the level-2 symbols that every window of 20 words surely contains whole, the least is the window's
-landmark; equal windows have equal landmarks at equal places.
+Words are the letters.  Level 1 names runs of two equal letters, pairs of a left and a right letter (a bit of a
+letter's hash says which it is) and single letters; whether a run or pair is formed depends only on the letters next
+to it.  Level 2 names, at every level-1 boundary, the sequence of level-1 symbols of the 6 or 7 words after it.  A
+name is a hash of the names below it and depends on nothing else, so equal substrings get equal interior symbols in
+every task and naming needs no exchange.  Of the level-2 symbols that every window of 20 words surely contains whole,
+the least is the window's landmark; equal windows have equal landmarks at equal places.
 
 Spark rounds: (1) landmarks are exchanged by name, which leaves those that occur more than once; (2) the windows
 with such a landmark are exchanged by a hash of their 20 words, which verifies the repeat and finds each window
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -66,23 +67,21 @@ def level2(h: np.ndarray, bounds: np.ndarray, cover: int = COVER) -> np.ndarray:
     out = np.full(n, NEVER)
     if n < cover:
         return out
-    starts = level1(h, bounds)
-    # The symbol ends at the first boundary at or after `cover` words; a text's end is a boundary too.
-    long = np.ones(n, bool)
-    at = np.arange(n)
-    ends = at + cover
-    inside = ends < n
-    long[inside] = ~starts[ends[inside]]
-    stop = np.repeat(bounds[1:], np.diff(bounds))
-    long &= ends < stop
-    fits = starts & (ends <= stop)
-    name = np.zeros(n, W.U)
+    at = np.flatnonzero(level1(h, bounds))
+    after = np.r_[at[1:], n]
+    # A level-1 name: the word's, or that of both words of a run or pair.
+    name = W.mixed(h[at], 22)
+    two = after - at > 1
+    name[two] = W.mixed(name[two] * W.U(W.BASE) + h[at[two] + 1], 24)
+    # Names of level-1 symbols are folded until they cover enough words; a text's end is a boundary too.
+    fold, done = np.zeros(len(at), W.U), np.zeros(len(at), np.int64)
     for j in range(cover):
-        name[: n - j] = W.mixed(name[: n - j] * W.U(W.BASE) + h[j:])
-    more = np.flatnonzero(fits & long)
-    name[more] = W.mixed(name[more] * W.U(W.BASE) + h[more + cover])
-    name = W.mixed(name, 23)
-    out[fits] = np.minimum(name[fits], NEVER - W.U(1))
+        k = np.flatnonzero(done[: len(at) - j] < cover)
+        fold[k] = W.mixed(fold[k] * W.U(W.BASE) + name[k + j])
+        done[k] = after[k + j] - at[k]
+    stop = np.repeat(bounds[1:], np.diff(bounds))[at]
+    fits = (done >= cover) & (at + done <= stop)
+    out[at[fits]] = np.minimum(W.mixed(fold[fits], 23), NEVER - W.U(1))
     return out
 
 
@@ -207,11 +206,16 @@ def _cut(window: int):
     return run
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def _with_texts(docs: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
     """(text, cls, pos, doc_id) of the first document of each class in ``places`` (cls, pos)."""
     who = staged(places.join(classes, "cls").select("cls", "pos", F.col("low").alias("__id")), "repeat-who")
-    ids = who.select("__id").distinct()
-    if who.count() <= SMALL:
+    ids = staged(who.select("__id").distinct(), "repeat-ids")
+    if ids.count() <= SMALL:
         docs = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
     return docs.join(who, docs["doc_id"].eqNullSafe(who["__id"])).select("text", "cls", "pos", "doc_id")
 
@@ -227,15 +231,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     classes = prof.groupBy("cls").agg(F.min("doc_id").alias("low"))
 
     marks = texts.select("text").mapInArrow(_marks(window), "cls bigint, marks array<struct<key:bigint,pos:int>>").select("cls", F.inline("marks"))
-    one, occurrence = Window.partitionBy("key"), F.xxhash64("cls", "pos")
-    shared = marks.withColumn("lo", F.min(occurrence).over(one)).withColumn("hi", F.max(occurrence).over(one)).where("lo < hi")
-    shared = shared.groupBy("cls").agg(F.collect_set("pos").alias("pos"))
+    # A key that holds a third of all rows is aggregated before the exchange; no task gets its rows together.
+    marks = staged(marks, "repeat-marks")
+    occurrence = F.xxhash64("cls", "pos")
+    more = marks.groupBy("key").agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo < hi").select("key")
+    shared = marks.join(_small(staged(more, "repeat-keys")), "key", "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("pos"))
 
     found = _with_texts(texts, shared, classes).mapInArrow(_windows(window), f"doc_id {id_type}, cls bigint, found array<struct<hash:bigint,pos:int>>")
-    found = found.select("doc_id", "cls", F.inline("found"))
-    order = Window.partitionBy("hash").orderBy(F.col("doc_id").isNull(), "doc_id", "cls", "pos")
-    first = F.first(F.struct("cls", "pos")).over(order)
-    again = found.withColumn("first", first).where("first.cls <> cls or first.pos <> pos")
+    found = staged(found.select("doc_id", "cls", F.inline("found")), "repeat-windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls", "pos")
+    first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first.cls", "first.pos")
+    first = staged(first.toDF("hash", "first_cls", "first_pos"), "repeat-first")
+    again = found.join(_small(first), "hash").where("first_cls <> cls or first_pos <> pos")
     again = again.groupBy("cls").agg(F.collect_set("pos").alias("pos"))
 
     cut = _with_texts(texts, again, classes).mapInArrow(_cut(window), "cls bigint, n_removed bigint, kept string")

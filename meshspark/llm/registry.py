@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .op1_mixing import op1_mixing
 from .op2_quality import op2_quality
 from .op3_jaccard import op3_jaccard
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": CHAT_SQL}
+    return {"op3_jaccard": oracles.JACCARD, "op4_substring": oracles.SUBSTRING, "op8_decontamination": oracles.DECONTAMINATION, "op10_chat": CHAT_SQL}
