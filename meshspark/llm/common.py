@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshspark.functions.shared import dropped, shared_dir, staged  # noqa: F401
@@ -20,6 +20,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def meeting(key: str, *own: str):
+    """The window in which rows of a key meet; those that words.local_state found AGAIN stand alone."""
+    return Window.partitionBy(key, F.when(F.col("state") == 2, F.xxhash64(*own)).otherwise(F.lit(0)))
+
+
 def hash38(*cols: Column) -> Column:
     """A 38-bit non-negative hash."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 26)

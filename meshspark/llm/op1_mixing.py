@@ -1,11 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy source schedule (DataFrame functions only).
 
-The mix is a sequence of slots of BLOCK words.  Slot i owns the golden-ratio point i * phi mod 1; the
-source whose interval of the cumulative target weights holds that point fills the slot.  Slots are ranked
-per source (two levels, so that a source with a third of all slots is ranked in parallel) and the r-th slot
-of a source takes the r-th equal-token block of that source's shuffled documents, starting over when a pass
-is complete.  A source's last slot takes only what its target lacks, and the few slots that the schedule's
-discrepancy leaves a source short of are appended at its end, so taken words equal the target rounded down.
+The mix is a sequence of slots of BLOCK words, as many as the targets need.  Slot i owns the golden-ratio point
+i * phi mod 1.  Its place among all points, counted in parallel ranges, is looked up in the cumulative numbers of
+slots of the sources, so each source gets exactly its slots and they are spread over the mix as evenly as the points.
+Slots are ranked per source (two levels, so that a source with a third of all slots is ranked in parallel) and the
+r-th slot of a source takes the r-th equal-token block of that source's shuffled documents, starting over when a pass
+is complete.  A source's last slot takes only what its target lacks, so taken words equal the target rounded down.
 
 Defined results: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own
 and comes last; repeated rows are mixed as separate documents; an empty table gives no rows; further columns
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_of, hash38, staged, table
+from .common import RANK_ROWS, WORD, bucket_of, hash38, staged, table
 
 #: Words in a slot.
 BLOCK = 4096
@@ -35,13 +35,13 @@ CHUNK_BITS = 16
 
 @dataclass
 class Mix:
-    documents: DataFrame  # doc_id, source, size, source_size, target, taken
-    schedule: DataFrame  # slot (null: closing), source, rank, pass, block, doc_id, from_word, to_word
+    documents: DataFrame  # doc_id, source, size, source_size, target, taken, first_slot, n_slots, row (of the input)
+    schedule: DataFrame  # slot, source, rank, pass, block, doc_id, from_word, to_word
     sources: DataFrame  # source, size, weight, target
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
-    """One row per source: sid (position), size, weight, target, cumulative points lo and hi.
+    """One row per source: sid (position), size, weight, target, need (slots), cumulative slots lo and hi.
 
     The target is min(level * weight, cap * size) at the one level where targets add up to all sizes,
     which is where resharing the excess by weight ends.  One row per source is small beside the documents.
@@ -57,66 +57,73 @@ def targets(sized: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     fits = F.when(F.col("level") <= F.col("limit") / F.col("weight"), F.struct(F.col("limit") / F.col("weight"), "sid", "level"))
     s = s.withColumn("level", F.min(fits).over(Window.partitionBy())["level"])
     s = s.withColumn("target", F.least(F.coalesce("level", F.lit(0.0)) * F.col("weight"), F.col("limit")))
-    run = Window.orderBy("sid")
-    share = F.lit(float(1 << 31)) / F.greatest(F.sum("target").over(Window.partitionBy()), F.lit(1e-9))
-    s = s.withColumn("hi", F.round(F.sum("target").over(run.rowsBetween(Window.unboundedPreceding, 0)) * share).cast("long"))
-    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0).cast("long")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     goal = F.floor(F.col("target") + 1e-6).cast("long")
     passes = F.when(F.col("size") > 0, F.expr(f"cast(floor(target + 1e-6) as bigint) div greatest(size, 1)")).otherwise(0)
     s = s.withColumn("blocks", blocks).withColumn("goal", goal).withColumn("passes", passes)
     s = s.withColumn("rest", F.col("goal") - F.col("passes") * F.col("size"))
-    return s.withColumn("need", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK).cast("long")).select("source", "sid", "size", "weight", "target", "lo", "hi", "blocks", "passes", "rest", "need")
+    s = s.withColumn("need", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / BLOCK).cast("long"))
+    s = s.withColumn("hi", F.sum("need").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("need"))
+    return s.select("source", "sid", "size", "weight", "target", "lo", "hi", "blocks", "passes", "rest", "need")
 
 
 def _slots(spark: SparkSession, sources: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     """slot, sid, rank: every slot of the mix with its source and its rank among that source's slots."""
-    # An interval join as an equi-join: points and intervals meet in bins, of which there are as many as sources.
-    bits = min(30, max(10, (4 * n_sources - 1).bit_length()))
-    width = 31 - bits
-    spans = sources.where("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", width), F.shiftright(F.col("hi") - 1, width))).alias("bin"))
-    low = F.lit((1 << 31) - 1).cast("long")
+    low, ranges = F.lit((1 << 31) - 1).cast("long"), max(1, n_slots // RANK_ROWS)
     points = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id").bitwiseAND(low) * PHI31).bitwiseAND(low).alias("point"))
-    points = points.withColumn("bin", F.shiftright("point", width))
-    dealt = points.join(spans, "bin").where("lo <= point and point < hi").select("slot", "sid", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
+    points = points.withColumn("range", F.shiftright(F.col("point") * F.lit(ranges).cast("long"), 31))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = points.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("point", "slot")) - 1
+    placed = points.withColumn("inside", inside).join(bases, "range").select("slot", (F.col("base") + F.col("inside")).alias("place"))
+    # An interval join as an equi-join: places and intervals meet in bins, of which there are as many as sources.
+    width = max(1, n_slots // (4 * n_sources))
+    spans = sources.where("hi > lo").select("sid", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("bin"))
+    dealt = placed.withColumn("bin", F.expr(f"place div {width}")).join(spans, "bin").where("lo <= place and place < hi").select("slot", "sid", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = dealt.groupBy("sid", "chunk").agg(F.count("*").alias("n")).select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
     return dealt.withColumn("inside", inside).join(chunks, ["sid", "chunk"]).select("slot", "sid", (F.col("base") + F.col("inside")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, seed: int = 1) -> Mix:
-    """The mix of ``docs`` (doc_id, text, source): see the module's head."""
+def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, seed: int = 1, row: Column | None = None) -> Mix:
+    """The mix of ``docs`` (doc_id, text, source): see the module's head.
+
+    ``row`` names a row in the result where doc_id can't; by default it is only unique.
+    """
     spark = docs.sparkSession
-    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash38(F.lit(seed), "doc_id", "text").alias("h")), "mix-sized")
+    row = F.monotonically_increasing_id() if row is None else row
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hash38(F.lit(seed), "doc_id", "text").alias("h"), row.alias("row"))
+    sized = staged(sized, "mix-sized")
     sources = staged(targets(sized, weights, cap), "mix-sources")
-    n_docs, all_words, n_sources = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("source")).first()
+    n_docs, n_sources = sized.agg(F.count("*"), F.count_distinct("source")).first()
+    n_slots = sources.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
     small = F.broadcast(sources) if n_sources <= 100_000 else sources
-    d = sized.alias("d").join(small.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.size", "d.h", "s.sid", bucket_of(F.col("d.h"), n_docs).alias("bucket"))
+    d = sized.alias("d").join(small.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.size", "d.h", "d.row", "s.sid", bucket_of(F.col("d.h"), n_docs).alias("bucket"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = d.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    shuffled = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    shuffled = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.where("size > 0").withColumn("inside", F.coalesce(F.sum("size").over(shuffled), F.lit(0))).join(bases, ["sid", "bucket"])
-    d = d.select("doc_id", "sid", "size", (F.col("base") + F.col("inside")).alias("at"))
+    d = d.select("doc_id", "sid", "size", "row", (F.col("base") + F.col("inside")).alias("at"))
     pieces = d.withColumn("block", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")))
     pieces = pieces.select("*", F.greatest("at", F.col("block") * BLOCK).alias("from"), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK).alias("to"))
 
-    ranked = staged(_slots(spark, sources, -(-all_words // BLOCK), n_sources + 1), "mix-slots")
-    have = ranked.groupBy("sid").agg(F.count("*").alias("have"))
-    closing = sources.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    closing = closing.select(F.lit(None).cast("long").alias("slot"), "sid", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
-    slots = ranked.unionByName(closing).join(small.select("sid", "source", "size", "blocks", "passes", "rest", "need"), "sid").where("rank < need")
+    ranked = staged(_slots(spark, sources, n_slots, n_sources + 1), "mix-slots")
+    slots = ranked.join(small.select("sid", "source", "size", "blocks", "passes", "rest"), "sid")
     slots = slots.select("slot", "sid", "source", "rank", F.expr("rank div blocks").alias("pass"), F.expr("rank % blocks").alias("block"), F.expr("if(rank div blocks < passes, size, rest)").alias("upto"))
     schedule = slots.join(pieces.drop("source"), ["sid", "block"]).where("from < upto")
     schedule = schedule.select("slot", "sid", "source", "rank", "pass", "block", "doc_id", "size", "at", (F.col("from") - F.col("at")).alias("from_word"), (F.least("to", "upto") - F.col("at")).alias("to_word"))
-    taken = schedule.groupBy("sid", "at", "doc_id", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken")).select("sid", "at", "taken")
-    out = d.join(taken, ["sid", "at"], "left").select("doc_id", "size", "sid", "taken")
-    empty = sized.alias("d").where("size = 0").join(small.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.size", "s.sid", F.lit(0).cast("long").alias("taken"))
+    taken = schedule.groupBy("sid", "at").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+    out = d.join(taken, ["sid", "at"], "left").select("doc_id", "size", "sid", "row", "taken", "first_slot", "n_slots")
+    empty = sized.alias("d").where("size = 0").join(small.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.size", "s.sid", "d.row", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
     out = out.unionByName(empty).join(small.select("sid", "source", F.col("size").alias("source_size"), "target"), "sid")
-    out = out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "row")
     return Mix(out, schedule.drop("sid", "at", "size"), sources.select("source", "size", "weight", "target"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of documents."""
-    return mix(table(spark, sf_dir, "documents")).documents.drop("source")
+    """doc_id, size, source_size, target, taken, first_slot, n_slots of every row of documents.
+
+    first_slot and n_slots are the slots of the schedule that hold words of the document, repeats counted.
+    """
+    return mix(table(spark, sf_dir, "documents")).documents.drop("source", "row")

@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 from meshspark.operators.components import components
 
 from . import words as W
-from .common import dropped, staged, table
+from .common import meeting, staged, table
 
 #: Histogram cells by the least size of a set that has them.
 CELLS = ((0, 64), (600, 256), (4000, 1024))
@@ -155,7 +155,11 @@ def _signed(n: int, percent: int):
                     seen.add(c)
                     who.append(c if own.as_py() is None or several.as_py() else own.as_py())
                     parts.append(signatures(u, percent) & SIGNATURE_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), _lists(parts)], ["who", "sigs"])
+            # A signature of one set may occur twice by chance; it is shared all the same.
+            sigs = _lists(parts)
+            state = pa.array(W.local_state(sigs.values.to_numpy()))
+            sigs = pa.ListArray.from_arrays(sigs.offsets, pa.StructArray.from_arrays([sigs.values, state], ["sig", "state"]))
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), sigs], ["who", "sigs"])
 
     return run
 
@@ -352,10 +356,10 @@ def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     ids = staged(ids.where("not own or several"), "near-spare")
     own_id = F.col("doc_id").cast("bigint") if isinstance(texts.schema["doc_id"].dataType, IntegralType) else F.lit(None).cast("bigint")
     first = _flagged(_without(texts, ids.where("not own").select("__id")), ids.where("several").select("__id"))
-    rows = first.select(own_id, "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<bigint>").select("who", F.explode("sigs").alias("sig"))
-    rows = staged(rows, "near-signatures")
-    found = staged(_several(rows, "who").select("sig", "who"), "near-found")
-    dropped(rows)
+    rows = first.select(own_id, "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<struct<sig:bigint,state:tinyint>>").select("who", F.inline("sigs"))
+    one = meeting("sig", "who")
+    found = rows.withColumn("lo", F.min("who").over(one)).withColumn("hi", F.max("who").over(one)).where("lo < hi or state > 0")
+    found = staged(found.select("sig", "who"), "near-found")
     names = _flagged(prof.where("cid is not null"), ids.where("several").select("__id"))
     names = names.select(F.when(F.col("__several"), F.col("cid")).otherwise(F.coalesce(own_id, "cid")).alias("who"), "cid").distinct()
     members = staged(found.join(names, "who").select("sig", "cid").distinct(), "near-named")

@@ -11,7 +11,8 @@ Spark rounds: (1) landmarks are exchanged by name, which leaves those that occur
 with such a landmark are exchanged by a hash of their 20 words, which verifies the repeat and finds each window
 that also starts earlier; (3) the words of those windows are removed.  Documents of equal word sequences are one
 class from the start: only the first takes part, the others are removed whole.  Texts are read again in rounds 2
-and 3, only those of documents concerned.
+and 3, only those of documents concerned.  In both exchanges a name that repeats within a batch is known to be shared
+and sends one row, so that no task gets all rows of a passage that is everywhere.
 
 Names, classes and windows are told apart by 64 bits of a hash.
 
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import staged, table
+from .common import meeting, staged, table
 
 WINDOW = 20
 #: Words that a level-2 symbol covers at least; level-1 symbols have at most 2.
@@ -150,7 +152,8 @@ def _marks(window: int):
                     lengths.append(len(at))
                     keys.append(symbols[lo + at].view(np.int64))
                     places.append(at.astype(np.int32))
-            marks = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["key", "pos"])
+            key = np.concatenate(keys)
+            marks = pa.StructArray.from_arrays([pa.array(key), pa.array(np.concatenate(places)), pa.array(W.local_state(key))], ["key", "pos", "state"])
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), marks)], ["cls", "marks"])
 
     return run
@@ -160,12 +163,19 @@ def _windows(window: int):
     """From (text, cls, pos: places of shared landmarks): hashes and starts of the windows that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows within a task emit once
         for batch in batches:
+            # In the order in which a window counts as earlier; its places follow.
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[(c, "ascending") for c in ("doc_id", "cls")], null_placement="at_end"))
             texts, cls, pos = batch.column(0).cast(pa.large_binary()), batch.column(1).to_numpy(), batch.column(2)
             rows, hashes, starts, lengths = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
             for i, bounds, h, symbols, low, _ in _parsed(batch.column(0), window):
                 shared = np.full(len(symbols), NEVER)
-                own = [sequence(texts[i + d].as_py() or b"")[2] == cls[i + d] for d in range(len(bounds) - 1)]
+                own = []
+                for d in range(len(bounds) - 1):
+                    own.append((c := int(cls[i + d])) not in seen and sequence(texts[i + d].as_py() or b"")[2] == c)
+                    if own[-1]:
+                        seen.add(c)
                 for d in np.flatnonzero(own):
                     at = bounds[d] + np.asarray(pos[int(i + d)].as_py(), np.int64)
                     shared[at] = symbols[at]
@@ -178,7 +188,8 @@ def _windows(window: int):
                     lengths.append(len(at))
                     hashes.append(w[bounds[d] + at].view(np.int64))
                     starts.append(at.astype(np.int32))
-            found = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(starts))], ["hash", "pos"])
+            key = np.concatenate(hashes)
+            found = pa.StructArray.from_arrays([pa.array(key), pa.array(np.concatenate(starts)), pa.array(W.local_state(key))], ["hash", "pos", "state"])
             found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), found)
             yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(rows, pa.int64())), pa.array(cls[rows], pa.int64()), found], ["doc_id", "cls", "found"])
 
@@ -206,11 +217,6 @@ def _cut(window: int):
     return run
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """``rows``, to be broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
-
-
 def _with_texts(docs: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
     """(text, cls, pos, doc_id) of the first document of each class in ``places`` (cls, pos)."""
     who = staged(places.join(classes, "cls").select("cls", "pos", F.col("low").alias("__id")), "repeat-who")
@@ -230,19 +236,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     prof = staged(texts.mapInArrow(_profiles, f"doc_id {id_type}, n_words bigint, cls bigint, sha string"), "repeat-docs")
     classes = prof.groupBy("cls").agg(F.min("doc_id").alias("low"))
 
-    marks = texts.select("text").mapInArrow(_marks(window), "cls bigint, marks array<struct<key:bigint,pos:int>>").select("cls", F.inline("marks"))
-    # A key that holds a third of all rows is aggregated before the exchange; no task gets its rows together.
-    marks = staged(marks, "repeat-marks")
-    occurrence = F.xxhash64("cls", "pos")
-    more = marks.groupBy("key").agg(F.min(occurrence).alias("lo"), F.max(occurrence).alias("hi")).where("lo < hi").select("key")
-    shared = marks.join(_small(staged(more, "repeat-keys")), "key", "left_semi").groupBy("cls").agg(F.collect_set("pos").alias("pos"))
-
-    found = _with_texts(texts, shared, classes).mapInArrow(_windows(window), f"doc_id {id_type}, cls bigint, found array<struct<hash:bigint,pos:int>>")
-    found = staged(found.select("doc_id", "cls", F.inline("found")), "repeat-windows")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls", "pos")
-    first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first.cls", "first.pos")
-    first = staged(first.toDF("hash", "first_cls", "first_pos"), "repeat-first")
-    again = found.join(_small(first), "hash").where("first_cls <> cls or first_pos <> pos")
+    marks = texts.select("text").mapInArrow(_marks(window), "cls bigint, marks array<struct<key:bigint,pos:int,state:tinyint>>").select("cls", F.inline("marks"))
+    one, occurrence = meeting("key", "cls", "pos"), F.xxhash64("cls", "pos")
+    shared = marks.withColumn("lo", F.min(occurrence).over(one)).withColumn("hi", F.max(occurrence).over(one)).where("lo < hi or state > 0")
+    shared = shared.groupBy("cls").agg(F.collect_set("pos").alias("pos"))
+
+    found = _with_texts(texts, shared, classes).mapInArrow(_windows(window), f"doc_id {id_type}, cls bigint, found array<struct<hash:bigint,pos:int,state:tinyint>>")
+    found = found.select("doc_id", "cls", F.inline("found"))
+    order = meeting("hash", "cls", "pos").orderBy(F.col("doc_id").isNull(), "doc_id", "cls", "pos")
+    first = F.first(F.struct("cls", "pos")).over(order)
+    again = found.withColumn("first", first).where("state = 2 or first.cls <> cls or first.pos <> pos")
     again = again.groupBy("cls").agg(F.collect_set("pos").alias("pos"))
 
     cut = _with_texts(texts, again, classes).mapInArrow(_cut(window), "cls bigint, n_removed bigint, kept string")

@@ -14,9 +14,11 @@ own, and an open one is good only between two good ones; an h1 may head the arti
 Stop words say nothing where their languages aren't used: in blocks mostly in other than Latin letters, and on pages
 where they make up hardly any of the text.  There, length and link density decide.
 
+A page is read once from start to end, whatever it holds: time grows with its length.
+
 Defined results: null and empty html give an empty text; unclosed and stray tags are allowed; an unclosed comment
-or script ends the page; repeated rows get equal results; an empty table gives no rows; further columns are
-ignored.
+or script ends the page; from the first tag whose quotes don't close, tags end at the next >; after the last > all
+is text; repeated rows get equal results; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +56,9 @@ MAIN_WORDS = frozenset("article content entry story post".split())
 #: Names that stand for the article: one of the first words with one of the second, and nothing else.
 ARTICLE_NAME = re.compile(r"(?:article|entry|post|story)[-_]*(?:body|content|text)", re.I)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+RAW_END = {tag: re.compile(rf"</{tag}[\s>/]", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 SPACE = re.compile(r"\s+")
@@ -103,45 +107,113 @@ def _skips(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
     return False, inner and any(ARTICLE_NAME.fullmatch(n) for n in names.split()), inner
 
 
+class Tags:
+    """The tags of a page in order: next(at) gives (start, end, closing, name, attributes) of the first at or after
+    ``at``, with an empty name for comments and the like, or None."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.right, self.quotes = html, -1, True
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, len(html) if end < 0 else end + 3, False, "", ""
+            if self.right < at and (found := html.find(">", at)) >= 0:
+                self.right = found
+            if self.right < at:
+                return None
+            if m := NAME.match(html, at):
+                end = self._end(m.end())
+                return at, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+            if html[at + 1 : at + 2] in ("!", "?", "/"):
+                return at, self.right + 1, False, "", ""
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes start at ``at``."""
+        if self.quotes:
+            p = at
+            while m := STOP.search(self.html, p):
+                if m[0] == ">":
+                    return m.start()
+                if (p := self.html.find(m[0], m.end()) + 1) == 0:
+                    break
+            self.quotes = False
+        return self.right
+
+
+class Open:
+    """The open elements of a page, with the places of each tag, of articles and of elements that are left out."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, article, keeps headers
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.skips: list[int] = []
+        self.main = self.inner = 0
+
+    def push(self, tag: str, left_out: bool, article: bool, heads: bool) -> None:
+        i = len(self.stack)
+        self.stack.append((tag, left_out, article, heads))
+        self.places.setdefault(tag, []).append(i)
+        if tag in ("article", "main"):
+            self.walls.append(i)
+        if left_out:
+            self.skips.append(i)
+        self.main += article
+        self.inner += heads
+
+    def pop(self, n: int) -> None:
+        while len(self.stack) > n:
+            tag, left_out, article, heads = self.stack.pop()
+            self.places[tag].pop()
+            if tag in ("article", "main"):
+                self.walls.pop()
+            if left_out:
+                self.skips.pop()
+            self.main -= article
+            self.inner -= heads
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the last such element, but not one around an open article."""
+        if places := self.places.get(tag):
+            if tag in ("body", "html", "article", "main") or not self.walls or self.walls[-1] < places[-1]:
+                self.pop(places[-1])
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, without elements that can't hold main text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, left out, article, keeps headers
+    tags, open_ = Tags(html), Open()
     text: list[str] = []
-    linked = breaks = 0
-    in_link, tag_now, at, skip, main, inner = False, "", 0, 0, 0, 0
+    linked = breaks = at = 0
+    in_link, tag_now = False, ""
 
     def flush(next_tag: str) -> None:
         nonlocal text, linked, tag_now, breaks
         if text:
             whole = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if whole:
-                out.append(Block(whole, tag_now, min(1.0, linked / len(whole)), main > 0))
+                out.append(Block(whole, tag_now, min(1.0, linked / len(whole)), open_.main > 0))
         text, linked, tag_now, breaks = [], 0, next_tag, 0
 
-    def pop(n: int) -> None:
-        nonlocal skip, main, inner
-        while len(stack) > n:
-            _, left_out, article, heads = stack.pop()
-            skip -= left_out
-            main -= article
-            inner -= heads
-
     while at < len(html):
-        m = TAG.search(html, at)
-        piece = html[at : m.start() if m else len(html)]
-        if piece and not skip:
+        found = tags.next(at)
+        piece = html[at : found[0] if found else len(html)]
+        if piece and not open_.skips:
             text.append(piece)
             if piece.strip():
                 breaks = 0
             if in_link:
                 linked += len(SPACE.sub(" ", entities.unescape(piece)).strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, closing, tag, attributes = found
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -152,30 +224,23 @@ def blocks(html: str) -> list[Block]:
             in_link = not closing
         if tag in BREAKS:
             flush("" if closing else tag)
-        if tag in RAW and not closing and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}[\s>/]", re.I).search(html, at)
+        alone = attributes.rstrip().endswith("/")
+        if tag in RAW and not closing and not alone:
+            end = RAW_END[tag].search(html, at)
             at = end.start() if end else len(html)
             if tag in CONTAINERS:
                 continue
         if tag in VOID or tag not in CONTAINERS:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in ("article", "main") and tag not in ("body", "html", "article", "main"):
-                    break
-        elif not m[3].rstrip().endswith("/"):
+            open_.close(tag)
+        elif not alone:
             if tag == "body":
-                pop(0)
-            left_out, article, heads = _skips(tag, m[3], inner > 0)
-            if article and tag in ("article", "main") and skip and stack and stack[-1][0] in ("nav", "header", "footer", "aside"):
-                pop(next(i for i, s in enumerate(stack) if s[1]))  # the element was not closed
-            stack.append((tag, left_out, article, heads))
-            skip += left_out
-            main += article
-            inner += heads
+                open_.pop(0)
+            left_out, article, heads = _skips(tag, attributes, open_.inner > 0)
+            if article and tag in ("article", "main") and open_.skips and open_.stack[-1][0] in ("nav", "header", "footer", "aside"):
+                open_.pop(open_.skips[0])  # the element was not closed
+            open_.push(tag, left_out, article, heads)
     flush("")
     return out
 

@@ -103,6 +103,22 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: How often a key occurs in its batch: once; several times, of which this is the first; or again after that.
+ONCE, FIRST, AGAIN = 0, 1, 2
+
+
+def local_state(keys: np.ndarray) -> np.ndarray:
+    """ONCE, FIRST or AGAIN of every key of a batch.
+
+    A key that occurs again is known to be shared, so only its first row must meet those of other batches: a key that
+    holds a third of all rows costs an exchange no more than one row a batch.
+    """
+    _, first, where, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    state = np.full(len(keys), AGAIN, np.int8)
+    state[first] = np.where(count > 1, FIRST, ONCE)
+    return state
+
+
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     """op (np.minimum or np.maximum) over every `width` consecutive values."""
     done, out = 1, x
