@@ -31,7 +31,7 @@ EMBED, FILTERS, STEP, BLOCK = 8, 48, 4, 128
 EPOCHS, BATCH, RATE = 12, 32, 4e-3
 #: Score from which a document counts as good.
 GOOD = 0.7
-#: Bytes of text that are scored at once.
+#: Bytes of text that are scored at once; a longer text is taken piece by piece.
 PIECE = 1 << 18
 
 Model = dict[str, np.ndarray]
@@ -176,11 +176,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     return train([r["text"].encode() for r in rows], [r["__label"] for r in rows], n1 / n)
 
 
+def forward_long(m: Model, data: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """The logit of one long text, the same as by `forward`; filters run over a piece of its blocks at a time."""
+    x, _ = framed(data, np.array([0, len(data)]))
+    step, tops = max(1, piece // (STEP * BLOCK)) * BLOCK, []
+    for i in range(0, len(x) - 1, step):
+        rows = x[i : i + step + 1]  # a frame's second half is the next row
+        act = responses(m, rows[:-1], "first")
+        act += responses(m, rows[1:], "second")
+        act += m["bias"]
+        np.maximum(act, 0, out=act)
+        tops.append(np.maximum.reduceat(act, np.arange(0, len(act), BLOCK), axis=0))
+    top = np.concatenate(tops)
+    chunk = top if len(top) == 1 else np.maximum(top[:-1], top[1:])
+    mean = np.add.reduceat(chunk, [0], axis=0) / np.array([[len(chunk)]])
+    return (mean * m["out"]).sum(1) + m["shift"][0]
+
+
 def scores(m: Model, column: pa.Array) -> np.ndarray:
     """Scores of an Arrow column of texts."""
     out = [np.zeros(0)]
     for _, _, data, off in W.pieces(column, PIECE):
-        out.append(1 / (1 + np.exp(-forward(m, data, off).astype(np.float64))))
+        logit = forward_long(m, data) if len(off) == 2 and len(data) > PIECE else forward(m, data, off)
+        out.append(1 / (1 + np.exp(-logit.astype(np.float64))))
     return np.concatenate(out)
 
 

@@ -4,8 +4,11 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers.  Wider p
 secrets, phone and card numbers that the base rules lose, social security and bank account numbers.  On each proposed span four labelers
 vote: a strict pattern, a gazetteer of key words before it and of known beginnings, its context (an assignment, a label or a sign in front), and
 its shape.  Expectation-maximisation over the counts of vote patterns in all documents estimates how reliable
-each labeler is; a logistic span classifier is trained on the posteriors, and its expression decides which
-proposed spans are added.  What reaches the driver is one count for each kind and vote pattern.
+each labeler is.  The span classifier is trained on the posteriors: logistic in the votes, and, by a second fit, in
+traits of the span and the words around it that no labeler looks at (length, share of digits, letter case, variety
+of characters, separators, a plain word in front).  Traits tell true from false spans beyond the votes, so the two
+fits add up; its expression decides which proposed spans are added.  What reaches the driver is one count for each
+kind, vote pattern and pattern of traits, 5120 at most.
 
 Spans are code points, end exclusive.  A proposed span that touches a base span, or an accepted one of an earlier
 kind, is dropped.
@@ -68,7 +71,9 @@ KNOWN = {
 CONTEXT = r"""[=:#]\x20?["'(]?$"""
 #: Characters before a span that labelers see.
 BEFORE = 24
-LABELERS = 4
+LABELERS, TRAITS = 4, 6
+#: How far traits may move the logit of a span.
+TRAIT_REACH = 2.0
 KINDS = [*BASE, *WIDE]
 SPAN = "struct<start:int,end:int,text:string>"
 
@@ -140,6 +145,16 @@ def _votes(kind: str, before: Column, x: Column) -> Column:
     return out
 
 
+def _traits(before: Column, x: Column) -> Column:
+    """What a span looks like, as a bit word; no labeler votes on it."""
+    digits, n = F.length(_digits(x)), F.length(x)
+    traits = [n >= 24, digits * 2 >= n, x.rlike("[A-Z]") & x.rlike("[a-z]"), F.size(F.array_distinct(F.split(x, ""))) >= 10, x.rlike("[\\x20./_-]"), before.rlike("(?:^|\\x20)[a-z]{2,}\\x20$")]
+    out = F.lit(0)
+    for i, t in enumerate(traits):
+        out = out + F.when(t, 1 << i).otherwise(0)
+    return out
+
+
 def _checked(kind: str, order: int, found: Column) -> Column:
     good = F.filter(found, lambda m: _valid(kind, m["text"]))
     return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
@@ -148,7 +163,7 @@ def _checked(kind: str, order: int, found: Column) -> Column:
 def _judged(kind: str, order: int, text: Column, found: Column) -> Column:
     def one(m: Column) -> Column:
         before = F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE)))
-        return F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind"), _votes(kind, before, m["text"]).alias("votes"))
+        return F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind"), _votes(kind, before, m["text"]).alias("votes"), _traits(before, m["text"]).alias("traits"))
 
     return F.transform(found, one)
 
@@ -174,6 +189,7 @@ def spotted(docs: DataFrame) -> DataFrame:
 class SpanModel:
     bias: dict[str, float]
     weight: tuple[float, ...]
+    traits: dict[str, tuple[float, ...]]  # of each kind: a shift, then one weight for each trait
 
     def accepts(self, span: Column) -> Column:
         z = F.lit(-1.0)
@@ -181,7 +197,13 @@ class SpanModel:
             z = F.when(span["kind"] == kind, b).otherwise(z)
         for i, w in enumerate(self.weight):
             z = z + F.when(span["votes"].bitwiseAND(1 << i) > 0, w).otherwise(0.0)
-        return z >= 0
+        looks = F.lit(0.0)
+        for kind, (shift, *own) in self.traits.items():
+            y = F.lit(shift)
+            for i, w in enumerate(own):
+                y = y + F.when(span["traits"].bitwiseAND(1 << i) > 0, w).otherwise(0.0)
+            looks = F.when(span["kind"] == kind, y).otherwise(looks)
+        return z + F.greatest(F.lit(-TRAIT_REACH), F.least(F.lit(TRAIT_REACH), looks)) >= 0
 
 
 #: Beliefs before data: how often a labeler votes for a true and for a false span, and their weight beside the
@@ -213,33 +235,61 @@ def em(counts: dict[tuple[str, int], int], rounds: int = 50) -> dict[tuple[str,
     return post
 
 
-def train(counts: dict[tuple[str, int], int], steps: int = 1500) -> SpanModel:
-    """The span classifier: logistic in the votes, with a bias for each kind, fitted to the posteriors."""
-    if not counts:
-        return SpanModel({}, (0.0,) * LABELERS)
-    post, kinds = em(counts), sorted({k for k, _ in counts})
-    total = sum(counts.values())
-    rows = [(k, [v >> i & 1 for i in range(LABELERS)], p, counts.get((k, v), 0) / total + 0.5 / len(post)) for (k, v), p in post.items()]
-    bias, weight = dict.fromkeys(kinds, -2.0), [1.0] * LABELERS
+def _logistic(rows: list[tuple[list[int], float, float]], bias: float, steps: int, decay: float = 0.0) -> list[float]:
+    """Bias and weights fitted to rows (features, target, share)."""
+    w = [bias] + [0.0] * len(rows[0][0])
     for _ in range(steps):
-        gb, gw = dict.fromkeys(kinds, 0.0), [0.0] * LABELERS
-        for kind, votes, p, n in rows:
-            z = bias[kind] + sum(w for w, x in zip(weight, votes, strict=True) if x)
+        g = [0.0] + [decay * x for x in w[1:]]
+        for x, p, n in rows:
+            z = w[0] + sum(a for a, b in zip(w[1:], x, strict=True) if b)
             d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p) * n
-            gb[kind] += d
-            gw = [g + d * x for g, x in zip(gw, votes, strict=True)]
-        bias = {k: b - 2.0 * gb[k] for k, b in bias.items()}
-        weight = [w - 2.0 * g for w, g in zip(weight, gw, strict=True)]
+            g[0] += d
+            for i, b in enumerate(x, 1):
+                g[i] += d * b
+        w = [a - 2.0 * b for a, b in zip(w, g, strict=True)]
+    return w
+
+
+def train(counts: dict[tuple[str, int, int], int], steps: int = 1500) -> SpanModel:
+    """The span classifier, from the counts of (kind, votes, traits), fitted to the posteriors."""
+    if not counts:
+        return SpanModel({}, (0.0,) * LABELERS, {})
+    votes: dict[tuple[str, int], int] = {}
+    for (k, v, _), n in counts.items():
+        votes[k, v] = votes.get((k, v), 0) + n
+    post, kinds = em(votes), sorted({k for k, _ in votes})
+    total = sum(votes.values())
+    rows = []
+    for (k, v), p in post.items():
+        rows.append(([*(int(k == x) for x in kinds), *(v >> i & 1 for i in range(LABELERS))], p, votes.get((k, v), 0) / total + 0.5 / len(post)))
+    _, *fit = _logistic(rows, 0.0, steps)
+    weight = fit[len(kinds) :]
     # No labeler decides alone.
     top = max(weight)
-    return SpanModel({k: min(b, -top - 1e-6) for k, b in bias.items()}, tuple(weight))
+    bias = {k: min(b, -top - 1e-6) for k, b in zip(kinds, fit, strict=False)}
+    traits = {}
+    for kind in kinds:
+        own: dict[int, list[float]] = {}
+        for (k, v, t), n in counts.items():
+            if k == kind:
+                at = own.setdefault(t, [0.0, 0.0])
+                at[0] += n
+                at[1] += n * post[k, v]
+        size, true = sum(n for n, _ in own.values()), sum(p for _, p in own.values())
+        share = min(max((true + 1) / (size + 2), 1e-3), 1 - 1e-3)
+        prior = math.log(share / (1 - share))
+        # A pattern of traits counts for what sets it apart from the kind's others; few spans tell little.
+        _, *own_weights = _logistic([([t >> i & 1 for i in range(TRAITS)], p / n, n / size) for t, (n, p) in own.items()], prior, 300, 1.0 / math.sqrt(size + 1))
+        mean = sum(n * sum(w for i, w in enumerate(own_weights) if t >> i & 1) for t, (n, _) in own.items()) / size
+        traits[kind] = (-mean, *own_weights)
+    return SpanModel(bias, tuple(weight), traits)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (start, order, end, kind) of every row of ``docs`` (doc_id, text)."""
     rows = staged(spotted(docs.select("doc_id", "text")), "pii-spans")
-    got = rows.select(F.explode("wide").alias("w")).groupBy(F.col("w.kind").alias("kind"), F.col("w.votes").alias("votes")).agg(F.count("*").alias("n")).collect()
-    model = train({(r["kind"], r["votes"]): r["n"] for r in got})
+    got = rows.select(F.explode("wide").alias("w")).groupBy(F.col("w.kind").alias("kind"), F.col("w.votes").alias("votes"), F.col("w.traits").alias("traits")).agg(F.count("*").alias("n")).collect()
+    model = train({(r["kind"], r["votes"], r["traits"]): r["n"] for r in sorted(got)})
     good = F.filter("wide", model.accepts) if model.bias else F.col("wide")
     rows = rows.withColumn("wide", good)
     first = F.filter("wide", lambda w: ~F.exists("wide", lambda v: (v["order"] < w["order"]) & (v["start"] < w["end"]) & (w["start"] < v["end"])))
@@ -259,4 +309,4 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every row of documents."""
     got = find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
-    return got.select("doc_id", *counts, F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
