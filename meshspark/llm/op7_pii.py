@@ -235,9 +235,8 @@ def em(counts: dict[tuple[str, int], int], rounds: int = 50) -> dict[tuple[str,
     return post
 
 
-def _logistic(rows: list[tuple[list[int], float, float]], bias: float, steps: int, decay: float = 0.0) -> list[float]:
-    """Bias and weights fitted to rows (features, target, share)."""
-    w = [bias] + [0.0] * len(rows[0][0])
+def _logistic(rows: list[tuple[list[int], float, float]], w: list[float], steps: int, decay: float = 0.0) -> list[float]:
+    """Bias and weights fitted to rows (features, target, share), from those given."""
     for _ in range(steps):
         g = [0.0] + [decay * x for x in w[1:]]
         for x, p, n in rows:
@@ -262,11 +261,11 @@ def train(counts: dict[tuple[str, int, int], int], steps: int = 1500) -> SpanMod
     rows = []
     for (k, v), p in post.items():
         rows.append(([*(int(k == x) for x in kinds), *(v >> i & 1 for i in range(LABELERS))], p, votes.get((k, v), 0) / total + 0.5 / len(post)))
-    _, *fit = _logistic(rows, 0.0, steps)
+    common, *fit = _logistic(rows, [0.0, *[-2.0] * len(kinds), *[1.0] * LABELERS], steps)
     weight = fit[len(kinds) :]
     # No labeler decides alone.
     top = max(weight)
-    bias = {k: min(b, -top - 1e-6) for k, b in zip(kinds, fit, strict=False)}
+    bias = {k: min(common + b, -top - 1e-6) for k, b in zip(kinds, fit, strict=False)}
     traits = {}
     for kind in kinds:
         own: dict[int, list[float]] = {}
@@ -279,7 +278,7 @@ def train(counts: dict[tuple[str, int, int], int], steps: int = 1500) -> SpanMod
         share = min(max((true + 1) / (size + 2), 1e-3), 1 - 1e-3)
         prior = math.log(share / (1 - share))
         # A pattern of traits counts for what sets it apart from the kind's others; few spans tell little.
-        _, *own_weights = _logistic([([t >> i & 1 for i in range(TRAITS)], p / n, n / size) for t, (n, p) in own.items()], prior, 300, 1.0 / math.sqrt(size + 1))
+        _, *own_weights = _logistic([([t >> i & 1 for i in range(TRAITS)], p / n, n / size) for t, (n, p) in own.items()], [prior, *[0.0] * TRAITS], 300, 1.0 / math.sqrt(size + 1))
         mean = sum(n * sum(w for i, w in enumerate(own_weights) if t >> i & 1) for t, (n, _) in own.items()) / size
         traits[kind] = (-mean, *own_weights)
     return SpanModel(bias, tuple(weight), traits)
