@@ -62,7 +62,8 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of ``edges`` and the smallest node it is connected to."""
-    pairs = staged(edges.select(F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), "cc-edges")
+    whole = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = staged(whole.select(F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b")).distinct(), "cc-edges")
     e, levels, turn = pairs.where("a <> b"), [], 0
     while left := e.count():
         if left <= FEW:

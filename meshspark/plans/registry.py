@@ -13,6 +13,7 @@ from meshspark.functions import vec as V
 from meshspark.functions.shared import shared_dir
 from meshspark.operators import check, decimate, edit, geometry, repair, smooth, subdivide
 from meshspark.operators.frame import MeshFrame, change_status, test_status
+from meshspark.operators.walk import Tables, Walk
 from meshspark.operators.weld import exact, leaders
 from meshspark.sources import files
 
@@ -42,6 +43,11 @@ def _xyz(v: str, prefix: str = "") -> list[Column]:
     return [_r(F.col(f"{v}.{c}"), f"{prefix}{c}") for c in "xyz"]
 
 
+def _at(t: str, v: str) -> str:
+    """One key of a mesh and a vertex, for DuckDB's joins."""
+    return f"{t}.mesh_id * 1000000000 + {t}.{v}"
+
+
 def r(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
@@ -85,9 +91,9 @@ def _(m: MeshFrame) -> DataFrame:
     return m.edges.select("mesh_id", "e", "v0", "v1", "f0", F.coalesce("f1", F.lit(-1)).alias("f1"), "n_faces", "is_boundary")
 
 
-@query("halfedge_nav_next_prev", "grid", """select he.mesh_id, he.h, xor(he.h, 1) as opposite, he.h // 2 as e, he.src, he.dst, coalesce(he.f, -1) as f, coalesce(n.h, bn.h) as next_h, coalesce(p.h, bp.h) as prev_h from he
-left join h n on n.mesh_id = he.mesh_id and n.src = he.dst and n.dst = he.after_v left join h p on p.mesh_id = he.mesh_id and p.src = he.prev_v and p.dst = he.src
-left join he bn on he.f is null and bn.f is null and bn.mesh_id = he.mesh_id and bn.src = he.dst left join he bp on he.f is null and bp.f is null and bp.mesh_id = he.mesh_id and bp.dst = he.src""", HE)
+@query("halfedge_nav_next_prev", "grid", f"""select he.mesh_id, he.h, xor(he.h, 1) as opposite, he.h // 2 as e, he.src, he.dst, coalesce(he.f, -1) as f, case when he.f is null then bn.h else n.h end as next_h, case when he.f is null then bp.h else p.h end as prev_h from he
+left join h n on {_at('n', 'src')} = {_at('he', 'dst')} and n.dst = he.after_v left join h p on {_at('p', 'src')} = {_at('he', 'prev_v')} and p.dst = he.src
+left join rim bn on {_at('bn', 'src')} = {_at('he', 'dst')} left join rim bp on {_at('bp', 'dst')} = {_at('he', 'src')}""", HE, "rim as (select * from he where f is null)")
 def _(m: MeshFrame) -> DataFrame:
     return m.halfedges.select("mesh_id", "h", F.col("h").bitwiseXOR(1).alias("opposite"), "e", "src", "dst", F.coalesce("f", F.lit(-1)).alias("f"), "next_h", "prev_h")
 
@@ -141,7 +147,8 @@ def _(m: MeshFrame) -> DataFrame:
     return _listed(m.one_ring(), "ring")
 
 
-@query("ordered_ring", "many")
+@query("ordered_ring", "many", f""", st as (select mesh_id, v, coalesce(min(prev_v) filter (prev_v not in (select d.next_v from corners d where d.mesh_id = c.mesh_id and d.v = c.v)), min(prev_v)) as start from corners c group by 1, 2),
+walk as (select mesh_id, v, start as cur, 0 as k from st union all select walk.mesh_id, walk.v, c.next_v, k + 1 from walk join corners c on {_at('c', 'v')} = {_at('walk', 'v')} and c.prev_v = walk.cur join st on {_at('st', 'v')} = {_at('walk', 'v')} where c.next_v <> st.start) select mesh_id, v, string_agg(cur, ',' order by k) as ring from walk group by 1, 2""")
 def _(m: MeshFrame) -> DataFrame:
     return _listed(m.ordered_ring(), "ring")
 
@@ -181,7 +188,7 @@ def _(m: MeshFrame) -> DataFrame:
     return _listed(m.face_vertices(), "verts")
 
 
-@query("face_adjacency", "grid", "select c.mesh_id, c.f, d.f as g from corners c join corners d on d.mesh_id = c.mesh_id and d.v = c.next_v and d.next_v = c.v")
+@query("face_adjacency", "grid", f"select c.mesh_id, c.f, d.f as g from corners c join corners d on {_at('d', 'v')} = {_at('c', 'next_v')} and d.next_v = c.v")
 def _(m: MeshFrame) -> DataFrame:
     return m.face_faces()
 
@@ -274,7 +281,15 @@ def _(m: MeshFrame) -> DataFrame:
     return check.duplicate_vertices(m)
 
 
-@query("weld_tolerant_leaders", "many")
+#: One vertex after the other: the leaders so far, and whom the vertex follows.
+SCAN = """pts as (select mesh_id, v, x, y, z, row_number() over (partition by mesh_id order by v) as n from vertices),
+scan as (select mesh_id, 0::bigint as n, -1::bigint as v, -1::bigint as leader, []::struct(w bigint, x double, y double, z double)[] as led from (select distinct mesh_id from vertices)
+union all select mesh_id, n, v, coalesce(own, v), case when own is null then list_append(led, struct_pack(w := v::bigint, x := x, y := y, z := z)) else led end from (
+select p.mesh_id, p.n, p.v, p.x, p.y, p.z, led, list_min(list_transform(list_filter(led, lambda q: (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) <= TOL * TOL), lambda q: struct_pack(a := floor(q.z / TOL) - floor(p.z / TOL), b := floor(q.y / TOL) - floor(p.y / TOL), c := floor(q.x / TOL) - floor(p.x / TOL), w := q.w))).w as own
+from scan s join pts p on p.mesh_id = s.mesh_id and p.n = s.n + 1))"""
+
+
+@query("weld_tolerant_leaders", "many", "select mesh_id, v, leader from scan where n > 0", SCAN.replace("TOL", "1.02"))
 def _(m: MeshFrame) -> DataFrame:
     return leaders(m, 1.02)
 
@@ -289,7 +304,19 @@ def _(m: MeshFrame) -> DataFrame:
     return check.self_intersections(MeshFrame(m.vertices.withColumn("x", F.abs(F.col("x") - 4.3)), m.faces))
 
 
-@query("check_report", "many")
+REPORT = """, b as (select * from he where f is null), step as (select b.mesh_id, b.h, n.h as next_h from b join b n on n.mesh_id = b.mesh_id and n.src = b.dst),
+walk as (select mesh_id, h, next_h as w from step union select walk.mesh_id, walk.h, step.next_h from walk join step on step.mesh_id = walk.mesh_id and step.h = walk.w), low as (select mesh_id, h, min(w) as loop from walk group by 1, 2), loops as (select mesh_id, count(distinct loop) as n_loops from low group by 1),
+parts as (select mesh_id, count(distinct component) as n_components from (select mesh_id, v, min(w) as component from cc group by 1, 2) group by 1),
+lone as (select mesh_id, count(*) as n from vertices anti join corners using (mesh_id, v) group by 1),
+wide as (select mesh_id, count(*) filter (n_faces > 2) as n_edges3, count(*) filter (n_faces < 2) as n_open from radial group by 1),
+flat as (select mesh_id, count(*) filter (len(list_distinct(verts)) < 3) as n from faces group by 1),
+twin as (select mesh_id, count(*) - count(distinct (x, y, z)) as n from vertices group by 1), same_f as (select mesh_id, count(*) - count(distinct list_sort(verts)) as n from faces group by 1),
+fans as (select mesh_id, count(*) as n from (select mesh_id, src from b group by 1, 2 having count(*) > 1) group by 1)
+"""
+
+
+@query("check_report", "holed", SUMMARY + REPORT + """ select mesh_id, n_vertices, n_edges, n_faces, n_boundary_edges, n_vertices - n_edges + n_faces as euler, n_components, n_loops, coalesce(lone.n, 0) as n_isolated, coalesce(fans.n, 0) as n_nonmanifold_vertices, n_edges3 as n_nonmanifold_edges, 0 as n_connectivity_errors, 0 as n_incoherent_edges, flat.n as n_degenerate, twin.n as n_duplicate_vertices, same_f.n as n_duplicate_faces,
+(2 * n_components - (n_vertices - n_edges + n_faces) - n_loops) // 2 as genus, n_open = 0 as is_closed, true as is_oriented, coalesce(fans.n, 0) + n_edges3 + flat.n + twin.n + same_f.n = 0 as ok from x join y using (mesh_id) join z using (mesh_id) join parts using (mesh_id) join loops using (mesh_id) left join lone using (mesh_id) join wide using (mesh_id) join flat using (mesh_id) join twin using (mesh_id) join same_f using (mesh_id) left join fans using (mesh_id)""", HE, NB, CC)
 def _(m: MeshFrame) -> DataFrame:
     return check.report(m)
 
@@ -337,9 +364,9 @@ def _(m: MeshFrame) -> DataFrame:
     return check.face_components(m)
 
 
-@query("drop_small_components", "checker", "select mesh_id, f from faces where false")
+@query("drop_small_components", "many", ", c3 as (select * from corners where f % 3 > 0), k as (select distinct c.mesh_id, c.f, d.f as g from c3 c join c3 d on d.mesh_id = c.mesh_id and d.v = c.next_v and d.next_v = c.v), w as (select mesh_id, f, f as g from faces where f % 3 > 0 union select w.mesh_id, w.f, k.g from w join k on k.mesh_id = w.mesh_id and k.f = w.g) select mesh_id, f from w group by 1, 2 having count(*) >= 3")
 def _(m: MeshFrame) -> DataFrame:
-    return repair.drop_small_components(m, 3).faces.select("mesh_id", "f")
+    return repair.drop_small_components(MeshFrame(m.vertices, m.faces.where("f % 3 > 0")), 3).faces.select("mesh_id", "f")
 
 
 @query("accepted_faces", "checker", "select mesh_id, f, true as accepted from faces")
@@ -347,12 +374,32 @@ def _(m: MeshFrame) -> DataFrame:
     return repair.accepted(m)
 
 
-@query("accepted_soup_faces", "soup")
+def _refused(i: int) -> tuple[str, str]:
+    """SQL: the corners at the start of side i, and whether they keep a triangle (a, b, c) out of a mesh with the corners ``st``."""
+    v, w, p = ("abc"[(i + k) % 3] for k in (0, 1, 2))
+    t = f"list_filter(st, lambda q: q.v = {v})"
+    heads = f"len(list_filter(t{i}, lambda q: not list_contains(list_transform(t{i}, lambda o: o.w), q.p)))"
+    end = f"list_reduce(list_prepend({w}::bigint, list_transform(t{i}, lambda q: q.v)), lambda cur, o: coalesce(list_filter(t{i}, lambda q: q.p = cur)[1].w, cur))"
+    used = f"len(list_filter(t{i}, lambda q: q.p = {p} or q.w = {w})) > 0"
+    closing = f"len(list_filter(t{i}, lambda q: q.p = {w})) > 0 and {end} = {p} and {heads} > 1"
+    return f"{t} as t{i}", f"(len(t{i}) > 0 and {heads} = 0) or {used} or ({closing})"
+
+
+#: Face by face: the corners (v, previous, next) of the accepted ones, and whether the face is one.
+ACCEPT = f"""tried as (select mesh_id, f, verts, row_number() over (partition by mesh_id order by f) as n from wfaces),
+turn as (select mesh_id, 0::bigint as n, -1::bigint as f, true as accepted, []::struct(v bigint, p bigint, w bigint)[] as st from (select distinct mesh_id from wfaces)
+union all select mesh_id, n, f, ok, case when ok then st || [struct_pack(v := a::bigint, p := c::bigint, w := b::bigint), struct_pack(v := b::bigint, p := a::bigint, w := c::bigint), struct_pack(v := c::bigint, p := b::bigint, w := a::bigint)] else st end from (
+select *, a <> b and b <> c and a <> c and not ({" or ".join(f"({_refused(i)[1]})" for i in range(3))}) as ok from (select *, {", ".join(_refused(i)[0] for i in range(3))} from (select t.mesh_id, t.n, t.f, t.verts[1] as a, t.verts[2] as b, t.verts[3] as c, st from turn join tried t on t.mesh_id = turn.mesh_id and t.n = turn.n + 1))))"""
+
+
+@query("accepted_soup_faces", "soup", "select mesh_id, f, accepted from turn where n > 0", WELD, ACCEPT)
 def _(m: MeshFrame) -> DataFrame:
     return repair.accepted(repair.weld(m, 1e-10))
 
 
-@query("repair_report", "soup")
+@query("repair_report", "soup", """, base as (select mesh_id, (f // 4) % 3 = 0 as turned, f from faces where f % 4 = 0), seed as (select mesh_id, arg_min(turned, f) as t from base group by 1), flip as (select mesh_id, count(*) as n from base join seed using (mesh_id) where turned <> t group by 1)
+select mesh_id, (select count(*) from same where same.mesh_id = m.mesh_id and v <> leader) as vertices_merged, (select count(*) from wfaces w where w.mesh_id = m.mesh_id and len(list_distinct(verts)) < 3) as degenerate_removed, (select count(*) - count(distinct list_sort(verts)) from wfaces w where w.mesh_id = m.mesh_id and len(list_distinct(verts)) = 3) as duplicate_removed,
+0 as nonmanifold_edges, coalesce(flip.n, 0) as faces_flipped, 0 as vertices_split, true as changed, 0 as faces_split, 0 as faces_failed from (select distinct mesh_id from vertices) m left join flip using (mesh_id)""", WELD)
 def _(m: MeshFrame) -> DataFrame:
     return repair.load_and_repair(m)[1]
 
@@ -425,7 +472,7 @@ def _(m: MeshFrame) -> DataFrame:
     return _listed(edit.split_faces(m, m.faces).faces, "verts").select("mesh_id", "verts")
 
 
-@query("edge_split", "many")
+@query("edge_split", "many", SUMMARY + ", d as (select mesh_id, count(*) as k from edges where n_faces = 2 and f1 = f0 + 1 and f0 % 2 = 0 group by 1) select mesh_id, n_vertices + k as n_vertices, n_edges + 3 * k as n_edges, n_faces + 2 * k as n_faces, n_boundary_edges, n_vertices - n_edges + n_faces as euler from x join y using (mesh_id) join z using (mesh_id) join d using (mesh_id)")
 def _(m: MeshFrame) -> DataFrame:
     e = m.edges.where("n_faces = 2 and f1 = f0 + 1 and f0 % 2 = 0").select("mesh_id", "e")
     return edit.split_edges(m, e).counts()
@@ -499,7 +546,7 @@ def _(m: MeshFrame) -> DataFrame:
     return _points_of(subdivide.sqrt3_subdivide(m).vertices)
 
 
-@query("sqrt3_faces", "many", "select c.mesh_id, 3 * c.f + c.slot as f, case when d.f is null then c.v || ',' || c.next_v || ',' || (top + c.f) else (top + c.f) || ',' || c.v || ',' || (top + d.f) end as verts from corners c left join corners d on d.mesh_id = c.mesh_id and d.v = c.next_v and d.next_v = c.v join tops t on t.mesh_id = c.mesh_id", TOPS)
+@query("sqrt3_faces", "many", "select c.mesh_id, 3 * c.f + c.slot as f, case when d.f is null then c.v || ',' || c.next_v || ',' || (top + c.f) else (top + c.f) || ',' || c.v || ',' || (top + d.f) end as verts from corners c left join corners d on d.mesh_id * 1000000000 + d.v = c.mesh_id * 1000000000 + c.next_v and d.next_v = c.v join tops t on t.mesh_id = c.mesh_id", TOPS)
 def _(m: MeshFrame) -> DataFrame:
     return _listed(subdivide.sqrt3_subdivide(m).faces, "verts")
 
@@ -584,6 +631,67 @@ def _(m: MeshFrame) -> DataFrame:
     return m.with_points(m.vertices.where("v % 2 = 0").withColumn("z", F.lit(math.pi))).vertices
 
 
+# -- bulk copies, walks, properties of edges -------------------------------------------------------------------
+
+
+@query("triangle_table", "grid", "select mesh_id, f, verts[1] as a, verts[2] as b, verts[3] as c from faces")
+def _(m: MeshFrame) -> DataFrame:
+    return m.triangles()
+
+
+@query("grown_properties", "many", ", t as (select mesh_id, max(v) + 1 as top from vertices group by 1) select mesh_id, v, v::double as heat, 2.0 as up from vertices union all select mesh_id, top, 1.5, 2.0 from t")
+def _(m: MeshFrame) -> DataFrame:
+    m = m.with_property("vertex", "heat", "float", 1.5).with_property("vertex", "dir", "vec3", (0.0, 1.0, 2.0))
+    m = m.set_values("vertex", "heat", m.vertices.select("mesh_id", "v", F.col("v").cast("double").alias("value")))
+    one = m.vertices.where("v = 0").select("mesh_id", F.lit(0).alias("k"), *"xyz")
+    return m.add_vertices(one).vertices.select("mesh_id", "v", "heat", F.col("dir.z").alias("up"))
+
+
+@query("edge_properties", "many", "select mesh_id, e, case when e % 3 = 0 then e::double else 0.25 end as weight, case when e % 4 = 0 then 8 else 0 end::int as status from edges")
+def _(m: MeshFrame) -> DataFrame:
+    m = m.with_property("edge", "weight", "float", 0.25)
+    m = m.set_values("edge", "weight", m.edges.where("e % 3 = 0").select("mesh_id", "e", F.col("e").cast("double").alias("value")))
+    return m.change_status("edge", "feature", m.edges.where("e % 4 = 0").select("mesh_id", "e", F.lit(True).alias("on"))).values("edge").select("mesh_id", "e", "weight", "status")
+
+
+@query("halfedge_properties", "many", "select mesh_id, h, case when h % 5 = 0 then 7 else 3 end::int as tag from h", HE)
+def _(m: MeshFrame) -> DataFrame:
+    m = m.with_property("halfedge", "tag", "int", 3)
+    return m.set_values("halfedge", "tag", m.halfedges.where("h % 5 = 0").select("mesh_id", "h", F.lit(7).alias("value"))).values("halfedge").select("mesh_id", "h", "tag")
+
+
+@query("walk_halfedges", "many", f"select he.mesh_id, he.h as begin, n.dst as id from he join he n on {_at('n', 'src')} = {_at('he', 'dst')} and n.dst = he.after_v where he.f is not null", HE)
+def _(m: MeshFrame) -> DataFrame:
+    t = Tables(m)
+    return Walk.over(t, "halfedge", t.halfedges.where("f is not null").select("mesh_id", "h")).keep("begin").next().to().rows
+
+
+@query("walk_vertices", "many", f"select distinct v.mesh_id, v.v as begin, h.dst as id from vertices v join h on {_at('h', 'src')} = {_at('v', 'v')}", HE)
+def _(m: MeshFrame) -> DataFrame:
+    return Walk.over(m, "vertex", m.vertices.select("mesh_id", "v")).keep("begin").vertices().rows
+
+
+@query("walk_edges", "many", "select mesh_id, e as begin, v0 as id from edges union all select mesh_id, e, v1 from edges")
+def _(m: MeshFrame) -> DataFrame:
+    w = Walk.over(m, "edge", m.edges.select("mesh_id", "e")).keep("begin")
+    return w.v0().rows.unionByName(w.v1().rows)
+
+
+@query("walk_faces", "many", f"select c.mesh_id, c.f as begin, d.f as id from corners c join corners d on {_at('d', 'v')} = {_at('c', 'next_v')} and d.next_v = c.v")
+def _(m: MeshFrame) -> DataFrame:
+    return Walk.over(m, "face", m.faces.select("mesh_id", "f")).keep("begin").faces().rows
+
+
+@query("walk_boundary", "many", "select mesh_id, h as id, f is null as is_boundary from he", HE)
+def _(m: MeshFrame) -> DataFrame:
+    return Walk.over(m, "halfedge", m.halfedges.select("mesh_id", "h")).is_boundary()
+
+
+@query("repair_mesh", "soup", ", q as (select mesh_id, count(distinct list_sort(verts)) as n_faces from wfaces where len(list_distinct(verts)) = 3 group by 1), u as (select mesh_id, count(distinct v) as n_vertices from (select mesh_id, unnest(verts) as v from tri) group by 1) select mesh_id, n_vertices, n_faces from q join u using (mesh_id)", WELD)
+def _(m: MeshFrame) -> DataFrame:
+    return repair.repair_mesh(m)[0].counts().select("mesh_id", "n_vertices", "n_faces")
+
+
 # -- files -----------------------------------------------------------------------------------------------------
 
 

@@ -139,3 +139,78 @@ def test_decimation_queries_ask_for_the_whole_job(spark, monkeypatch):
     for name in ("decimate_quadric", "decimate_modules"):
         registry.queries()[name](spark, "/root/testdata/sf0.001")
     assert asked == [128, 160]
+
+
+POINTS = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (2, 0, 0), (0, 2, 0)]
+
+
+@pytest.mark.parametrize("faces, reasons", [([[0, 1, 2], [0, 1, 3]], [None, "complex edge"]), ([[0, 0, 1], [0, 1, 2]], ["degenerate", None]), ([[0, 1, 2], [0, 3, 4], [0, 5, 6]], [None, None, None]), ([[0, 1, 2], [0, 2, 3], [0, 3, 1], [0, 4, 5]], [None, None, None, "complex vertex"]), ([[0, 1, 2], [0, 3, 4], [0, 2, 1]], [None, None, "patch"])])
+def test_input_that_is_not_manifold(spark, faces, reasons):
+    m = MeshFrame.from_arrays(spark, POINTS, faces)
+    assert [r["reason"] for r in repair.verdicts(m).orderBy("f").collect()] == reasons
+    if "complex edge" in reasons:
+        assert not check.report(m).first()["ok"] and not check.is_valid(m).first()["valid"]
+    assert repair.to_mesh(m, False)[0].faces.count() == reasons.count(None)
+
+
+def turned(m):
+    return sorted(min(tuple(r["verts"][i:] + r["verts"][:i]) for i in range(3)) for r in m.faces.collect())
+
+
+@pytest.mark.parametrize("left, right", [(3, 1), (1, 3), (5, 2)])
+def test_vertex_split_is_the_inverse_of_collapse(spark, left, right):
+    fan = MeshFrame.from_arrays(spark, [(0, 0, 0)] + [(1, i, 0) for i in range(6)] + [(0, 0, 9)], [[0, i + 1, (i + 1) % 6 + 1] for i in range(6)])
+    split = edit.vertex_split(fan, 0, 7, 0, left, right)
+    assert counts(split) == (8, 15, 8) and check.incoherent_edges(split).isEmpty() and check.nonmanifold_vertices(split).isEmpty()
+    back = edit.collapse(split, spark.createDataFrame([(0, 7, 0)], "mesh_id bigint, src bigint, dst bigint"))
+    assert turned(back) == turned(fan)
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    from meshspark.operators import components as c
+
+    rounds = []
+    one = c.contracted
+    monkeypatch.setattr(c, "FEW", 50)
+    monkeypatch.setattr(c, "contracted", lambda e, turn: rounds.append(turn) or one(e, turn))
+    path = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 5000 < 4999")
+    got = c.components(path).groupBy("component").agg(F.count("*").alias("n")).orderBy("component").collect()
+    assert [tuple(r) for r in got] == [(0, 5000), (5000, 5000)] and len(rounds) <= 14
+    alone = c.components(spark.createDataFrame([(3, 3), (None, 1)], "a bigint, b bigint"))
+    assert [tuple(r) for r in alone.collect()] == [(3, 3)]
+
+
+def test_walks_and_flags(spark):
+    from meshspark.operators.walk import Tables, smart
+
+    m = mesh(spark, QUAD)
+    t = Tables(m)
+    assert smart(t, "vertex", 0).vertices().ids() == [1, 2, 3] and smart(t, "face", 0).faces().ids() == [1]
+    assert smart(t, "face", 0).halfedge().next().opp().edge().ids() == smart(t, "face", 0).halfedge().next().edge().ids()
+    assert smart(t, "vertex", 1).is_boundary().first()["is_boundary"] and smart(t, "face", 0).measures().first()["area"] == 0.5
+    with pytest.raises(TypeError):
+        smart(t, "vertex", 0).next()
+    flagged = m.change_status("edge", "locked", m.edges.where("e = 1").select("mesh_id", "e", F.lit(True).alias("on")))
+    assert [r["locked"] for r in (smart(flagged, "edge", e).flags().first() for e in (0, 1))] == [False, True]
+
+
+def test_faces_are_inserted_and_holes_filled_as_far_as_manifold(spark):
+    m = mesh(spark, QUAD)
+    rows = spark.createDataFrame([(0, 0, [0, 1, 3]), (0, 1, [1, 0, 3])], "mesh_id bigint, k bigint, verts array<bigint>")
+    grown, told = repair.insert_faces(m, rows)
+    assert [r["reason"] for r in told.orderBy("k").collect()] == ["complex edge", None] and grown.faces.count() == 3
+    box = mesh(spark, BOX)
+    h = box.halfedges.where("f is null").agg(F.max("h")).first()[0]
+    assert check.report(repair.fill_hole(box, 0, h)).first()["is_closed"]
+
+
+def test_bulk_copies(spark):
+    m = mesh(spark, QUAD)
+    points, triangles = m.to_numpy()
+    assert points.tolist() == [list(map(float, p)) for p in QUAD[0]] and triangles.tolist() == QUAD[1]
+    with pytest.raises(ValueError):
+        mesh(spark, BOX).triangles()
+    with pytest.raises(ValueError):
+        m.set_points(m.positions().where("v > 0"))
+    split = edit.split_faces(m.add_vertices(spark.createDataFrame([(0, 0, 0.5, 0.2, 0.0)], "mesh_id bigint, k bigint, x double, y double, z double")), spark.createDataFrame([(0, 0, 4)], "mesh_id bigint, f bigint, v bigint"))
+    assert split.faces.count() == 4 and split.vertices.count() == 5
