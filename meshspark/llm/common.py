@@ -21,8 +21,8 @@ def let(value: Column, body) -> Column:
 
 
 def meeting(key: str, *own: str):
-    """The window in which rows of a key meet; those that words.local_state found AGAIN stand alone."""
-    return Window.partitionBy(key, F.when(F.col("state") == 2, F.xxhash64(*own)).otherwise(F.lit(0)))
+    """The window in which rows of a key meet; those that words.local_state found AGAIN are dealt over many others."""
+    return Window.partitionBy(key, F.when(F.col("state") == 2, F.pmod(F.xxhash64(*own), F.lit(1 << 16)) + 1).otherwise(F.lit(0)))
 
 
 def hash38(*cols: Column) -> Column:
