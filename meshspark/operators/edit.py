@@ -103,37 +103,45 @@ def split_faces(m: MeshFrame, faces: DataFrame) -> MeshFrame:
     return _replaced(MeshFrame(grown.vertices, m.faces), ids.select("mesh_id", "f", parts.alias("parts")))
 
 
-def collapse_candidates(m: MeshFrame) -> DataFrame:
-    """mesh_id, src, dst, ok: whether a vertex can move into a neighbour and the mesh stays manifold.
+def collapse_edges(m: MeshFrame, ends: DataFrame | None = None) -> DataFrame:
+    """mesh_id, lo, hi, ok: whether one end of an edge can move into the other and the mesh stays manifold; with
+    ``ends`` (mesh_id, v, ...) also its columns for both ends, as structs a and b.
 
     The apexes of the edge must be the only common neighbours and must differ, an apex's two outer edges must not
-    both be boundary, and an interior edge must not join two boundary vertices.
+    both be boundary, and an interior edge must not join two boundary vertices.  An edge with three or more sides, or
+    two of one direction, is not ok.
     """
-    s = m.sides.select("mesh_id", "src", "dst", "f", "prev_v", "n")
-    o = s.select("mesh_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("f").alias("g"), F.col("prev_v").alias("r"), F.col("n").alias("rn"))
-    s = s.withColumnRenamed("prev_v", "l").join(o, ["mesh_id", "src", "dst"])
-    ring = m.one_ring()
-    s = s.join(ring.toDF("mesh_id", "src", "ring_a"), ["mesh_id", "src"]).join(ring.toDF("mesh_id", "dst", "ring_b"), ["mesh_id", "dst"])
-    open_v = m.boundary_vertices().withColumn("open", F.lit(True))
-    s = s.join(open_v.toDF("mesh_id", "src", "open_a"), ["mesh_id", "src"], "left").join(open_v.toDF("mesh_id", "dst", "open_b"), ["mesh_id", "dst"], "left")
-    e = m.radial.select("mesh_id", "lo", "hi", (F.col("n_faces") < 2).alias("x"))
-    for apex in ("l", "r"):
-        for end in ("src", "dst"):
-            k = e.select("mesh_id", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("x").alias(f"open_{apex}_{end}"))
-            s = s.withColumns({"__lo": F.least(apex, end), "__hi": F.greatest(apex, end)}).join(k, ["mesh_id", "__lo", "__hi"], "left").drop("__lo", "__hi")
-    tips = F.array_compact(F.array("l", "r"))
-    ok = F.size(F.array_except(F.array_intersect("ring_a", "ring_b"), tips)) == 0
-    ok = ok & ~(F.coalesce(F.col("l") == F.col("r"), F.lit(False)))
-    for apex in ("l", "r"):
-        ok = ok & ~F.coalesce(F.col(f"open_{apex}_src") & F.col(f"open_{apex}_dst"), F.lit(False))
-    inner = F.col("f").isNotNull() & F.col("g").isNotNull()
-    ok = ok & ~(inner & F.coalesce("open_a", F.lit(False)) & F.coalesce("open_b", F.lit(False)))
-    ok = ok & (F.coalesce("n", F.lit(3)) == 3) & (F.coalesce("rn", F.lit(3)) == 3)
-    return s.select("mesh_id", "src", "dst", F.coalesce(ok, F.lit(False)).alias("ok"))
+    side = F.struct("f", "slot", "v", F.col("prev_v").alias("apex"), "n")
+    e = m.corners.where("v <> next_v").groupBy("mesh_id", F.least("v", "next_v").alias("lo"), F.greatest("v", "next_v").alias("hi")).agg(F.count("*").alias("k"), F.min(side).alias("l"), F.max(side).alias("r"))
+    both = F.array(F.struct(F.col("lo").alias("v"), F.col("hi").alias("w")), F.struct(F.col("hi").alias("v"), F.col("lo").alias("w")))
+    star = e.select("mesh_id", "k", F.inline(both)).groupBy("mesh_id", "v").agg(F.collect_list("w").alias("ring"), F.collect_list(F.when(F.col("k") < 2, F.col("w"))).alias("rim"))
+    carried = [c for c in ends.columns if c not in ("mesh_id", "v")] if ends is not None else []
+    if carried:
+        star = star.join(ends, ["mesh_id", "v"])
+    star = star.select("mesh_id", "v", F.struct("ring", "rim", *carried).alias("end"))
+    e = e.join(star.toDF("mesh_id", "lo", "a"), ["mesh_id", "lo"]).join(star.toDF("mesh_id", "hi", "b"), ["mesh_id", "hi"])
+    tips = F.array_distinct(F.array("l.apex", "r.apex"))
+    ok = (F.col("l.n") == 3) & (F.col("r.n") == 3) & (F.size(F.array_except(F.array_intersect("a.ring", "b.ring"), tips)) == 0)
+    for apex in ("l.apex", "r.apex"):
+        ok = ok & ~(F.array_contains("a.rim", F.col(apex)) & F.array_contains("b.rim", F.col(apex)))
+    inner = (F.col("k") == 2) & (F.col("l.v") != F.col("r.v")) & (F.col("l.apex") != F.col("r.apex")) & ((F.size("a.rim") == 0) | (F.size("b.rim") == 0))
+    return e.select("mesh_id", "lo", "hi", (ok & ((F.col("k") == 1) | inner)).alias("ok"), *(["a", "b"] if carried else []))
+
+
+def both_ways(rows: DataFrame, *more: Column) -> DataFrame:
+    """Rows of edges (mesh_id, lo, hi) once for each direction, with src, dst and ``more``."""
+    ways = F.array(F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst")))
+    return rows.select("mesh_id", F.inline(ways), *more)
+
+
+def collapse_candidates(m: MeshFrame) -> DataFrame:
+    """mesh_id, src, dst, ok of both directions of every edge, as ``collapse_edges`` decides."""
+    return both_ways(collapse_edges(m), F.col("ok"))
 
 
 def collapse(m: MeshFrame, moves: DataFrame) -> MeshFrame:
-    """Vertices moved into a neighbour: ``moves`` (mesh_id, src, dst), whose neighbourhoods must not overlap."""
+    """Vertices moved into a neighbour: ``moves`` (mesh_id, src, dst), none of whose ends is an end or a neighbour
+    of another's."""
     to = moves.select("mesh_id", F.col("src").alias("v"), F.col("dst").alias("w"))
     from .repair import drop_degenerate, relabelled
 
