@@ -17,7 +17,7 @@ from meshspark.functions.shared import staged
 
 from . import kernel
 from .frame import MeshFrame
-from .geometry import face_points, points
+from .geometry import edge_measures, face_points, points
 
 
 def _tops(m: MeshFrame, with_faces: bool = False) -> DataFrame:
@@ -99,7 +99,7 @@ def loop_edge_points(m: MeshFrame) -> DataFrame:
 
 
 def midpoint_edge_points(m: MeshFrame) -> DataFrame:
-    return _sided(m).select("mesh_id", "e", V.scale(V.add(F.col("a"), F.col("b")), 0.5).alias("at"))
+    return edge_measures(m).select("mesh_id", "e", F.col("midpoint").alias("at"))
 
 
 def butterfly_edge_points(m: MeshFrame, wing_fallback: str = "reference") -> DataFrame:
