@@ -214,3 +214,9 @@ def test_bulk_copies(spark):
         m.set_points(m.positions().where("v > 0"))
     split = edit.split_faces(m.add_vertices(spark.createDataFrame([(0, 0, 0.5, 0.2, 0.0)], "mesh_id bigint, k bigint, x double, y double, z double")), spark.createDataFrame([(0, 0, 4)], "mesh_id bigint, f bigint, v bigint"))
     assert split.faces.count() == 4 and split.vertices.count() == 5
+
+
+@pytest.mark.parametrize("faces, ok", [([[0, 1, 2], [0, 1, 3], [1, 0, 4]], False), ([[0, 1, 2], [0, 1, 3]], False), ([[0, 1, 2], [1, 0, 3], [0, 0, 1]], False), ([[0, 1, 2]], False), ([[0, 1, 2], [0, 2, 3], [0, 3, 1], [1, 3, 4], [3, 2, 5], [2, 1, 6]], True)])
+def test_collapse_of_one_edge(spark, faces, ok):
+    e = edit.collapse_edges(MeshFrame.from_arrays(spark, POINTS, faces)).where("lo = 0 and hi = 1").collect()
+    assert [r["ok"] for r in e] == [ok]
