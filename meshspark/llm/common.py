@@ -20,9 +20,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _dealt(*own: str) -> Column:
+    return F.when(F.col("state") == 2, F.pmod(F.xxhash64(*own), F.lit(1 << 16)) + 1).otherwise(F.lit(0))
+
+
 def meeting(key: str, *own: str):
     """The window in which rows of a key meet; those that words.local_state found AGAIN are dealt over many others."""
-    return Window.partitionBy(key, F.when(F.col("state") == 2, F.pmod(F.xxhash64(*own), F.lit(1 << 16)) + 1).otherwise(F.lit(0)))
+    return Window.partitionBy(key, _dealt(*own))
+
+
+def met(rows: DataFrame, key: str, value: str, *own: str) -> DataFrame:
+    """``rows`` with the least and the greatest ``value`` that meet (see ``meeting``) as lo and hi.
+
+    The dealt number is a column, which both windows share: as an expression it would be another one for each, and all
+    rows would be exchanged and sorted twice.
+    """
+    one, rows = Window.partitionBy(key, "__dealt"), rows.withColumn("__dealt", _dealt(*own))
+    return rows.select("*", F.min(value).over(one).alias("lo"), F.max(value).over(one).alias("hi")).drop("__dealt")
 
 
 def hash38(*cols: Column) -> Column:

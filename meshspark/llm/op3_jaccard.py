@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 from meshspark.operators.components import components
 
 from . import words as W
-from .common import meeting, staged, table
+from .common import met, staged, table
 
 #: Histogram cells by the least size of a set that has them.
 CELLS = ((0, 64), (600, 256), (4000, 1024))
@@ -357,8 +357,7 @@ def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     own_id = F.col("doc_id").cast("bigint") if isinstance(texts.schema["doc_id"].dataType, IntegralType) else F.lit(None).cast("bigint")
     first = _flagged(_without(texts, ids.where("not own").select("__id")), ids.where("several").select("__id"))
     rows = first.select(own_id, "text", "__several").mapInArrow(_signed(n, percent), "who bigint, sigs array<struct<sig:bigint,state:tinyint>>").select("who", F.inline("sigs"))
-    one = meeting("sig", "who")
-    found = rows.withColumn("lo", F.min("who").over(one)).withColumn("hi", F.max("who").over(one)).where("lo < hi or state > 0")
+    found = met(rows, "sig", "who", "who").where("lo < hi or state > 0")
     found = staged(found.select("sig", "who"), "near-found")
     names = _flagged(prof.where("cid is not null"), ids.where("several").select("__id"))
     names = names.select(F.when(F.col("__several"), F.col("cid")).otherwise(F.coalesce(own_id, "cid")).alias("who"), "cid").distinct()

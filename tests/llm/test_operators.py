@@ -72,6 +72,13 @@ def test_jaccard_against_brute_force(spark, n, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == components(rows, n, percent)
 
 
+def test_jaccard_exchanges_signatures_once(spark, monkeypatch):
+    plans, staged = {}, op3_jaccard.staged
+    monkeypatch.setattr(op3_jaccard, "staged", lambda df, label="step": plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and staged(df, label))
+    op3_jaccard.jaccard_components(spark.createDataFrame(prose(3), "doc_id bigint, text string")).count()
+    assert len(re.findall(r"Exchange hashpartitioning\(sig", plans["near-found"])) == 1
+
+
 def cut(rows, n=20):
     seen, out = set(), {}
     for d, t in sorted(rows):
