@@ -49,6 +49,13 @@ def test_flip_and_split(spark):
         edit.flip_edges(m, m.edges.where("is_boundary").select("mesh_id", "e"))
 
 
+def test_edges_and_halfedges_are_derived_once(spark):
+    m = mesh(spark, BOX)
+    for rows, n in ((m.edges, 12), (m.halfedges, 24)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and rows.count() == n
+
+
 def test_soup_is_repaired(spark):
     bowtie = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], [[0, 1, 2], [0, 3, 4]])
     m, r = repair.load_and_repair(mesh(spark, bowtie))
