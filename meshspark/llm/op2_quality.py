@@ -207,6 +207,7 @@ def _scorer(m: Model):
         for batch in batches:
             score = pa.array(scores(m, batch.column(0)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*batch.schema.names[1:], "__score"])
+        W.give_back()
 
     return run
 

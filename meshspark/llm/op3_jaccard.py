@@ -46,6 +46,8 @@ CELLS = ((0, 64), (600, 256), (4000, 1024))
 BLOCK, BLOCK_SHINGLES, UNIT, UNIT_SHINGLES, GLUE, GLUE_SHINGLES = 1024, 1 << 21, 4096, 1 << 21, 3, 100
 #: Members of a large cluster that are compared with all others first, and shingles of one record batch of sets.
 REPRESENTATIVES, BATCH_SHINGLES = 8, 1 << 20
+#: Signatures of one record batch.
+BATCH_SIGNATURES = 1 << 19
 #: Bits of a signature that are exchanged; a chance match only costs a comparison.
 SIGNATURE_BITS = W.U((1 << 50) - 1)
 #: Ids that are broadcast at most; more are joined by shuffling.
@@ -141,6 +143,7 @@ def _profiles(n: int):
                 cid.append(class_id(u) if len(u) else None)
                 vec.append(histogram(u) if len(u) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(cid, pa.int64()), pa.array(vec, pa.binary())], ["doc_id", "n_shingles", "cid", "vec"])
+        W.give_back()
 
     return run
 
@@ -149,21 +152,30 @@ def _signed(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task emit once
         for batch in batches:
-            who, parts = [], []
+            who, parts, held = [], [], 0
             for own, several, u in zip(batch.column(0), batch.column(2), shingle_sets(batch.column(1), n), strict=True):
                 if len(u) and (c := class_id(u)) not in seen:
                     seen.add(c)
                     who.append(c if own.as_py() is None or several.as_py() else own.as_py())
                     parts.append(signatures(u, percent) & SIGNATURE_BITS)
-            # A signature of one set may occur twice by chance; it is shared all the same.
-            sigs = _lists(parts)
-            state = pa.array(W.local_state(sigs.values.to_numpy()))
-            sigs = pa.ListArray.from_arrays(sigs.offsets, pa.StructArray.from_arrays([sigs.values, state], ["sig", "state"]))
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), sigs], ["who", "sigs"])
+                    held += len(parts[-1])
+                    if held >= BATCH_SIGNATURES:
+                        yield _signature_rows(who, parts)
+                        who, parts, held = [], [], 0
+            yield _signature_rows(who, parts)
+        W.give_back()
 
     return run
 
 
+def _signature_rows(who: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    # A signature of one set may occur twice by chance; it is shared all the same.
+    sigs = _lists(parts)
+    state = pa.array(W.local_state(sigs.values.to_numpy()))
+    sigs = pa.ListArray.from_arrays(sigs.offsets, pa.StructArray.from_arrays([sigs.values, state], ["sig", "state"]))
+    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), sigs], ["who", "sigs"])
+
+
 def _whole(n: int):
     """From (text, cid, key, units): the whole set of the class, once for each unit."""
 
@@ -180,6 +192,7 @@ def _whole(n: int):
                         yield _set_rows(rows)
                         rows, held = [], 0
             yield _set_rows(rows)
+        W.give_back()
 
     return run
 
@@ -216,6 +229,7 @@ def _groups(t: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
 
 
 def _result(found: list[tuple[int, int]]) -> pa.Table:
+    W.give_back()
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 

@@ -7,6 +7,7 @@ finished by a bijective mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,13 @@ _lower[65:91] += 32
 _powers = np.ones(1, U)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker outlives its task, and its next one may need less."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective mixer of 64-bit integers."""
     x = x + U((seed * 0xD1B54A32D192ED03 + BASE) & 0xFFFFFFFFFFFFFFFF)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,15 @@ def test_jaccard_exchanges_signatures_once(spark, monkeypatch):
     assert len(re.findall(r"Exchange hashpartitioning\(sig", plans["near-found"])) == 1
 
 
+def test_signatures_come_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(op3_jaccard, "BATCH_SIGNATURES", 1000, raising=False)
+    ids, texts = range(30), [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array([False] * 30)], ["own", "text", "several"])
+    got = list(op3_jaccard._signed(5, 80)(iter([batch])))
+    assert [w for b in got for w in b.column("who").to_pylist()] == list(ids)
+    assert max(len(b.column("sigs").values) for b in got) < 2000 and len({len(s) for b in got for s in b.column("sigs").to_pylist()}) == 1
+
+
 def cut(rows, n=20):
     seen, out = set(), {}
     for d, t in sorted(rows):
