@@ -136,6 +136,13 @@ def test_ply_of_the_other_byte_order_is_refused():
         files.parse_ply(b"ply\nformat binary_big_endian 1.0\nelement vertex 0\nend_header\n")
 
 
+def test_vetoes_do_not_repeat_each_other(spark, monkeypatch):
+    plans, staged = [], decimate.staged
+    monkeypatch.setattr(decimate, "staged", lambda df, label="step": plans.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti"))) or staged(df, label))
+    d = decimate.Decimator(mesh(spark, TETRA)).add_module(decimate.ModQuadric()).add_module(decimate.ModNormalFlipping(1.4)).add_module(decimate.ModAspectRatio(20.0)).add_module(decimate.ModEdgeLength(4.0))
+    assert d.decimate_to_faces(4) == 0 and [n for label, n in plans if label == "costed"] == [1]
+
+
 def test_decimation_queries_ask_for_the_whole_job(spark, monkeypatch):
     from meshspark.operators import decimate
     from meshspark.plans import registry
