@@ -56,6 +56,11 @@ def test_edges_and_halfedges_are_derived_once(spark):
         assert "Join" not in plan and "Exchange" not in plan and rows.count() == n
 
 
+def test_report_joins_tallies_only(spark):
+    plan = check.report(mesh(spark, TETRA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
 def test_soup_is_repaired(spark):
     bowtie = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], [[0, 1, 2], [0, 3, 4]])
     m, r = repair.load_and_repair(mesh(spark, bowtie))
