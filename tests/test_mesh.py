@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions.vec import Vec3
-from meshspark.operators import check, decimate, edit, geometry, repair, smooth, subdivide
+from meshspark.operators import check, decimate, edit, frame, geometry, repair, smooth, subdivide, walk
 from meshspark.operators.frame import MeshFrame
 from meshspark.operators.kernel import Fans
 from meshspark.operators.weld import leaders
@@ -56,6 +56,30 @@ def test_edges_and_halfedges_are_derived_once(spark):
         assert "Join" not in plan and "Exchange" not in plan and rows.count() == n
 
 
+def made(monkeypatch, *modules):
+    """The labels of the tables that are staged from now on."""
+    labels = []
+    for x in modules:
+        monkeypatch.setattr(x, "staged", lambda df, label="step", real=x.staged: labels.append(label) or real(df, label))
+    return labels
+
+
+def walked(kind, step):
+    return lambda m: step(walk.Walk.over(m, kind, m.half_ids if kind == "halfedge" else m.vertices if kind == "vertex" else m.faces))
+
+
+LEAST = {
+    "walk_boundary": (walked("halfedge", lambda w: w.is_boundary()), {"edges", "half-sides"}),
+}
+
+
+@pytest.mark.parametrize("name", LEAST)
+def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
+    of, needed = LEAST[name]
+    labels = made(monkeypatch, frame, check, walk)
+    assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
+
+
 def test_report_joins_tallies_only(spark):
     plan = check.report(mesh(spark, TETRA))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
