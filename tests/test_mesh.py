@@ -70,6 +70,7 @@ def walked(kind, step):
 
 LEAST = {
     "walk_boundary": (walked("halfedge", lambda w: w.is_boundary()), {"edges", "half-sides"}),
+    "walk_faces": (walked("face", lambda w: w.faces().rows), {"edges", "half-sides"}),
 }
 
 
