@@ -72,6 +72,7 @@ LEAST = {
     "walk_boundary": (walked("halfedge", lambda w: w.is_boundary()), {"edges", "half-sides"}),
     "walk_faces": (walked("face", lambda w: w.faces().rows), {"edges", "half-sides"}),
     "walk_vertices": (walked("vertex", lambda w: w.vertices().rows), {"edges"}),
+    "boundary_loops": (check.boundary_loops, {"edges", "half-sides", "open-sides"}),
 }
 
 
