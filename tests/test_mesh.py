@@ -83,6 +83,13 @@ def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
     assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
 
 
+@pytest.mark.parametrize("of", [subdivide.loop_subdivide])
+def test_last_subdivision_makes_what_is_read(spark, monkeypatch, of):
+    labels = made(monkeypatch, subdivide)
+    assert of(mesh(spark, TETRA)).vertices.count() > 4 and not labels
+    assert of(mesh(spark, TETRA), 2).faces.count() > 16 and labels == ["vertices", "faces"]
+
+
 def test_report_joins_tallies_only(spark):
     plan = check.report(mesh(spark, TETRA))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
