@@ -83,7 +83,7 @@ def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
     assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
 
 
-@pytest.mark.parametrize("of", [subdivide.loop_subdivide])
+@pytest.mark.parametrize("of", [subdivide.loop_subdivide, subdivide.sqrt3_subdivide])
 def test_last_subdivision_makes_what_is_read(spark, monkeypatch, of):
     labels = made(monkeypatch, subdivide)
     assert of(mesh(spark, TETRA)).vertices.count() > 4 and not labels
