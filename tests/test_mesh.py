@@ -83,6 +83,24 @@ def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
     assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
 
 
+def test_vertices_of_several_fans_take_no_join(spark):
+    bowtie = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], [[0, 1, 2], [0, 3, 4]])
+    rows = check.nonmanifold_vertices(mesh(spark, bowtie))
+    assert [r["v"] for r in rows.collect()] == [0] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["v"] for r in mesh(spark, bowtie).ordered_ring().collect()) == [1, 2, 3, 4]
+
+
+def test_corners_are_never_collected_in_the_driver(spark):
+    plan = geometry.face_points(mesh(spark, TETRA))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_is_valid_joins_offenders_only(spark):
+    rows = check.is_valid(mesh(spark, TETRA))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.first()["valid"] and "Generate" not in plan and plan.count("Join") == 1
+
+
 @pytest.mark.parametrize("of", [subdivide.loop_subdivide, subdivide.sqrt3_subdivide])
 def test_last_subdivision_makes_what_is_read(spark, monkeypatch, of):
     labels = made(monkeypatch, subdivide)
