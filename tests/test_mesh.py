@@ -83,6 +83,13 @@ def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
     assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
 
 
+def test_halfedges_of_the_boundary_turn_around_it(spark):
+    m = mesh(spark, QUAD)
+    h = {r["h"]: r for r in m.halfedges.collect()}
+    assert len(h) == 10 and all(h[r["next_h"]]["prev_h"] == x and h[r["next_h"]]["src"] == r["dst"] and h[r["next_h"]]["f"] == r["f"] for x, r in h.items())
+    assert "Join" not in m.halfedges._jdf.queryExecution().executedPlan().toString() and {r["h"]: (r["next_h"], r["prev_h"]) for r in m.open_halfedges().collect()} == {x: (r["next_h"], r["prev_h"]) for x, r in h.items() if r["f"] is None}
+
+
 def test_vertices_of_several_fans_take_no_join(spark):
     bowtie = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (-1, 0, 0), (-1, -1, 0)], [[0, 1, 2], [0, 3, 4]])
     rows = check.nonmanifold_vertices(mesh(spark, bowtie))
