@@ -73,6 +73,7 @@ LEAST = {
     "walk_faces": (walked("face", lambda w: w.faces().rows), {"edges", "half-sides"}),
     "walk_vertices": (walked("vertex", lambda w: w.vertices().rows), {"edges"}),
     "boundary_loops": (check.boundary_loops, {"edges", "half-sides", "open-sides"}),
+    "face_edges": (MeshFrame.face_edges, {"edges", "half-sides"}),
 }
 
 
