@@ -74,6 +74,7 @@ LEAST = {
     "walk_vertices": (walked("vertex", lambda w: w.vertices().rows), {"edges"}),
     "boundary_loops": (check.boundary_loops, {"edges", "half-sides", "open-sides"}),
     "face_edges": (MeshFrame.face_edges, {"edges", "half-sides"}),
+    "face_halfedges": (MeshFrame.face_halfedges, {"edges", "half-sides"}),
 }
 
 
