@@ -75,6 +75,7 @@ LEAST = {
     "boundary_loops": (check.boundary_loops, {"edges", "half-sides", "open-sides"}),
     "face_edges": (MeshFrame.face_edges, {"edges", "half-sides"}),
     "face_halfedges": (MeshFrame.face_halfedges, {"edges", "half-sides"}),
+    "find_halfedge_lookup": (lambda m: m.find_halfedge(m.half_ids.select("mesh_id", F.col("src").alias("a"), F.col("dst").alias("b"))), {"edges"}),
 }
 
 
