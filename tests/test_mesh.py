@@ -76,6 +76,7 @@ LEAST = {
     "face_edges": (MeshFrame.face_edges, {"edges", "half-sides"}),
     "face_halfedges": (MeshFrame.face_halfedges, {"edges", "half-sides"}),
     "find_halfedge_lookup": (lambda m: m.find_halfedge(m.half_ids.select("mesh_id", F.col("src").alias("a"), F.col("dst").alias("b"))), {"edges"}),
+    "vertex_outgoing_halfedges": (MeshFrame.vertex_halfedges, {"edges"}),
 }
 
 
@@ -86,6 +87,12 @@ def test_only_the_tables_that_are_needed_are_made(spark, monkeypatch, name):
     assert not of(mesh(spark, BOX)).isEmpty() and set(labels) == needed
 
 
+def test_halfedges_are_listed_once(spark):
+    m = mesh(spark, ([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], [[0, 1, 2], [0, 1, 3]]))
+    assert len(m.vertex_halfedges().where("v = 0").first()["halfedges"]) == 3
+    assert m.find_halfedge(m.vertices.where("v = 0").selectExpr("mesh_id", "v as a", "1l as b")).count() == 1
+
+
 def test_halfedges_of_the_boundary_turn_around_it(spark):
     m = mesh(spark, QUAD)
     h = {r["h"]: r for r in m.halfedges.collect()}
