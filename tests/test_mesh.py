@@ -76,6 +76,7 @@ LEAST = {
     "face_edges": (MeshFrame.face_edges, {"edges", "half-sides"}),
     "face_halfedges": (MeshFrame.face_halfedges, {"edges", "half-sides"}),
     "find_halfedge_lookup": (lambda m: m.find_halfedge(m.half_ids.select("mesh_id", F.col("src").alias("a"), F.col("dst").alias("b"))), {"edges"}),
+    "vertex_incoming_halfedges": (lambda m: m.vertex_halfedges(True), {"edges"}),
     "vertex_outgoing_halfedges": (MeshFrame.vertex_halfedges, {"edges"}),
 }
 
