@@ -119,7 +119,7 @@ def test_is_valid_joins_offenders_only(spark):
     assert rows.first()["valid"] and "Generate" not in plan and plan.count("Join") == 1
 
 
-@pytest.mark.parametrize("of", [subdivide.loop_subdivide, subdivide.sqrt3_subdivide])
+@pytest.mark.parametrize("of", [subdivide.butterfly_subdivide, subdivide.loop_subdivide, subdivide.sqrt3_subdivide])
 def test_last_subdivision_makes_what_is_read(spark, monkeypatch, of):
     labels = made(monkeypatch, subdivide)
     assert of(mesh(spark, TETRA)).vertices.count() > 4 and not labels
