@@ -309,3 +309,18 @@ def test_bulk_copies(spark):
 def test_collapse_of_one_edge(spark, faces, ok):
     e = edit.collapse_edges(MeshFrame.from_arrays(spark, POINTS, faces)).where("lo = 0 and hi = 1").collect()
     assert [r["ok"] for r in e] == [ok]
+
+
+def test_butterfly_has_one_vertex_for_an_edge_of_three_faces(spark):
+    m = MeshFrame.from_arrays(spark, POINTS, [[0, 1, 2], [0, 1, 3], [1, 0, 4]])
+    got = subdivide.butterfly_subdivide(m).vertices
+    assert got.count() == got.select("v").distinct().count() == len(POINTS) + m.edges.count()
+
+
+def test_butterfly_weights(spark):
+    octa = [(1, 0, 0), (0, 2, 0), (-3, 0, 0), (0, -4, 0), (0, 0, 5), (0, 0, -6)]
+    faces = [f for i in range(4) for f in ([i, (i + 1) % 4, 4], [(i + 1) % 4, i, 5])]
+    for shape, fallback, expected in ((faces, "reference", (0.875, 1.5, -0.125)), (faces[:2] + faces[4:], "reference", (0.5, 1.0, -0.125)), (faces[:2] + faces[4:], "midpoint", (0.5, 1.0, 0.0))):
+        m = MeshFrame.from_arrays(spark, octa, shape)
+        at = subdivide.butterfly_edge_points(m, fallback).join(m.edges.where("lo = 0 and hi = 1"), ["mesh_id", "e"])
+        assert tuple(at.first()["at"]) == expected and "Broadcast" not in subdivide.butterfly_edge_points(m)._jdf.queryExecution().executedPlan().toString()
