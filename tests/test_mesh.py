@@ -324,3 +324,11 @@ def test_butterfly_weights(spark):
         m = MeshFrame.from_arrays(spark, octa, shape)
         at = subdivide.butterfly_edge_points(m, fallback).join(m.edges.where("lo = 0 and hi = 1"), ["mesh_id", "e"])
         assert tuple(at.first()["at"]) == expected and "Broadcast" not in subdivide.butterfly_edge_points(m)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sqrt3_faces_take_one_join_of_sides(spark):
+    rows = subdivide.sqrt3_subdivide(mesh(spark, TETRA)).faces
+    plan = rows._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join ") == 2 and "SortMergeJoin" in plan.executedPlan().toString() and rows.count() == 12
+    pillow = MeshFrame.from_arrays(spark, POINTS, [[0, 1, 2], [0, 2, 1]])
+    assert sorted(sorted(r["verts"]) for r in subdivide.sqrt3_subdivide(pillow).faces.collect()) == [[0, 2, 7], [0, 2, 8], [0, 7, 8], [1, 2, 7], [1, 2, 8], [1, 7, 8]]
