@@ -326,6 +326,13 @@ def test_butterfly_weights(spark):
         assert tuple(at.first()["at"]) == expected and "Broadcast" not in subdivide.butterfly_edge_points(m)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_links_of_a_degenerate_face_are_listed_once(spark):
+    h = MeshFrame.from_arrays(spark, POINTS, [[0, 0, 1], [0, 1, 2]]).halfedges.where("f is not null")
+    assert h.count() == h.select("f", "slot", "h").distinct().count() == 7
+    of = {(r["f"], r["slot"]): r for r in h.orderBy("h", ascending=False).collect()}
+    assert all(of[f, s]["next_h"] == of[f, (s + 1) % 3]["h"] and of[f, s]["prev_h"] == of[f, (s + 2) % 3]["h"] for f, s in of)
+
+
 def test_sqrt3_faces_take_one_join_of_sides(spark):
     rows = subdivide.sqrt3_subdivide(mesh(spark, TETRA)).faces
     plan = rows._jdf.queryExecution()
