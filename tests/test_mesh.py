@@ -326,6 +326,15 @@ def test_butterfly_weights(spark):
         assert tuple(at.first()["at"]) == expected and "Broadcast" not in subdivide.butterfly_edge_points(m)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_half_edges_of_a_face_take_no_join(spark):
+    m = mesh(spark, BOX)
+    for rows in (m.face_halfedges(), m.face_edges()):
+        assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and all(len(set(r[2])) == 4 for r in rows.collect())
+    first = mesh(spark, QUAD).face_edges().where("f = 0").first()["edges"]
+    ends = {r["e"]: (r["v0"], r["v1"]) for r in mesh(spark, QUAD).edges.collect()}
+    assert [ends[e] for e in first] == [(2, 0), (0, 1), (1, 2)]
+
+
 def test_links_of_a_degenerate_face_are_listed_once(spark):
     h = MeshFrame.from_arrays(spark, POINTS, [[0, 0, 1], [0, 1, 2]]).halfedges.where("f is not null")
     assert h.count() == h.select("f", "slot", "h").distinct().count() == 7
