@@ -11,6 +11,7 @@ from meshspark.operators import check, decimate, edit, frame, geometry, repair,
 from meshspark.operators.frame import MeshFrame
 from meshspark.operators.kernel import Fans
 from meshspark.operators.weld import leaders
+from meshspark.plans import registry
 from meshspark.sources import files
 
 TETRA = ([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], [[0, 2, 1], [0, 1, 3], [1, 2, 3], [2, 0, 3]])
@@ -348,3 +349,19 @@ def test_sqrt3_faces_take_one_join_of_sides(spark):
     assert plan.optimizedPlan().toString().count("Join ") == 2 and "SortMergeJoin" in plan.executedPlan().toString() and rows.count() == 12
     pillow = MeshFrame.from_arrays(spark, POINTS, [[0, 1, 2], [0, 2, 1]])
     assert sorted(sorted(r["verts"]) for r in subdivide.sqrt3_subdivide(pillow).faces.collect()) == [[0, 2, 7], [0, 2, 8], [0, 7, 8], [1, 2, 7], [1, 2, 8], [1, 7, 8]]
+
+
+def test_holes_are_tried_again_from_their_next_half_edges(spark):
+    m = MeshFrame.from_arrays(spark, QUAD[0], [[1, 2, 0], [0, 2, 3]])
+    both = m.union(MeshFrame.from_arrays(spark, *BOX, mesh_id=1))
+    assert {r["mesh_id"]: (r["n_faces"], r["n_boundary_edges"]) for r in repair.fill_holes(both).counts().collect()} == {0: (4, 0), 1: (7, 0)}
+    # The fan from 2 -> 1 needs the diagonal that the mesh has, that from 1 -> 0 the other one.
+    assert [repair.fill_hole(m, 0, h).faces.count() for h in (1, 5)] == [2, 4]
+
+
+def test_fill_holes_query_inserts_its_caps(spark, monkeypatch):
+    m = MeshFrame.from_arrays(spark, TETRA[0], TETRA[1][1:])
+    monkeypatch.setattr(registry, "mesh", lambda *of: m)
+    labels = made(monkeypatch, repair)
+    assert [r.asDict() for r in registry.queries()["fill_holes"](spark, "").collect()] == [{"mesh_id": 0, "n_faces": 3, "n_caps": 1}]
+    assert "told-faces" in labels
